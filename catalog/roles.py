@@ -108,7 +108,9 @@ class Tables:
             F.count(F.lit(1)).alias("occurrence_count"),
         )
         started = "timestamp_micros(1704067200000000 + (o_custkey * 37 % 41760) * 60000000)"
-        return orders.selectExpr(
+        from faultline.functions.fingerprints import incident_fingerprint
+
+        rows = orders.selectExpr(
             "o_custkey as id",
             "1 + o_custkey % 5 as project_id",
             "case when o_custkey % 7 = 0 then null else o_custkey % 25 end as service_id",
@@ -118,9 +120,11 @@ class Tables:
             "case s when 'F' then 'RESOLVED' when 'P' then 'IDENTIFIED' else 'OPEN' end as status",
             "concat(lower(substring(p, 3)), ' order backlog for customer ', o_custkey) as title",
             f"{started} as started_at",
-            f"case when s = 'F' then {started} + interval 3 hours end as ended_at",
+            f"case when s <> 'O' or o_custkey % 5 > 0 then {started} + interval 3 hours end as ended_at",
             "occurrence_count",
         )
+        print_of = incident_fingerprint(F.col("service_id"), F.col("environment"), F.col("title"))
+        return rows.withColumn("fingerprint", print_of)
 
     @cached_property
     def lines(self) -> DataFrame:
