@@ -6,9 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from faultline.config import SimilarityThresholds
-
-FATAL_SIGNALS = ("first_error_before_deployment", "first_anomaly_before_deployment")
-
+from faultline.functions.text import let
 
 def micros(c: Column) -> Column:
     return F.unix_micros(c)
@@ -45,9 +43,12 @@ def map_cosine(a: Column, b: Column) -> Column:
     def norm(m: Column) -> Column:
         return F.sqrt(total(F.transform(F.map_values(m), lambda v: v * v)))
 
-    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
-    dot = total(F.transform(shared, lambda k: F.try_element_at(a, k) * F.try_element_at(b, k)))
-    return F.when(F.size(shared) > 0, F.round(dot / (norm(a) * norm(b)), 4)).otherwise(F.lit(0.0))
+    def cosine(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        dot = total(F.transform(F.map_keys(x), lambda k: F.coalesce(F.try_element_at(x, k) * F.try_element_at(y, k), F.lit(0.0))))
+        return F.when(F.arrays_overlap(F.map_keys(x), F.map_keys(y)), F.round(dot / (norm(x) * norm(y)), 4)).otherwise(0.0)
+
+    return let(F.struct(a.alias("x"), b.alias("y")), cosine)
 
 
 def z_score(x: Column, mean: Column, sd: Column, floor: float = 1e-9) -> Column:

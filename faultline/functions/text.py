@@ -84,19 +84,27 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def term_freq(c: Column) -> Column:
     """Map token -> share of all tokens of the row."""
-    toks = tokens(c)
-    distinct = F.array_distinct(toks)
-    total = F.size(toks).cast("double")
-    return F.map_from_arrays(
-        distinct, F.transform(distinct, lambda t: F.size(F.filter(toks, lambda x: x == t)) / total)
-    )
+
+    def counts(ts: Column) -> Column:
+        n = F.size(ts).cast("double")
+        return let(
+            F.array_distinct(ts),
+            lambda d: F.map_from_arrays(d, F.transform(d, lambda t: F.size(F.filter(ts, lambda x: x == t)) / n)),
+        )
+
+    return let(tokens(c), counts)
 
 
 def embedding_text(*parts: Column) -> Column:
     """Blank-joined non-blank parts; arrays are taken element by element."""
-    return F.concat_ws(" ", F.filter(F.transform(F.flatten(F.array(*parts)), F.trim), lambda x: x != ""))
+    return F.concat_ws(" ", F.filter(F.transform(F.flatten(F.array(*parts)), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def fuzzy_key(c: Column) -> Column:
