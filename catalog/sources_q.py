@@ -389,3 +389,62 @@ def t2(t):
 
     s = _as_stream(t, t.records.select("timestamp", "severity", "service", "normalized_message"))
     return _drain(t, jobs.stream_dedupe(s, "3650 days").select("fingerprint"), "append")
+
+
+def _alerts(t):
+    from catalog.incidents_q import alerts
+
+    return alerts(t)
+
+
+@query(
+    "t4_stream_incidents",
+    None,
+)
+def t4(t):
+    from faultline.streaming import jobs
+
+    return _drain(t, jobs.stream_incidents(_as_stream(t, _alerts(t).coalesce(1))), "append").select(
+        "project_id", "seq", "action", "episode"
+    )
+
+
+@query("t5_stream_anomalies", None)
+def t5(t):
+    from faultline.streaming import jobs
+
+    m = t.table("events").selectExpr("event_type as metric_name", "cast(ts as timestamp) as timestamp", "event_id as id", "value")
+    found = _drain(t, jobs.stream_anomalies(_as_stream(t, m.coalesce(1))), "append")
+    return found.select("metric_name", "id", F.array_join("signals", ",").alias("signals"))
+
+
+@query(
+    "t1_stream_ingest",
+    Q.cte(Q.LINES) + f" SELECT file, count(*) AS n, count(DISTINCT {Q.pattern('line')}) AS patterns FROM lines GROUP BY 1",
+)
+def t1(t):
+    from faultline.streaming import jobs
+
+    folder, out = shared_path(t.spark, "logs"), shared_path(t.spark, "out")
+    js = t.lines.selectExpr("to_json(named_struct('host', file, 'msg', line, 'ts', date_format(at, \"yyyy-MM-dd'T'HH:mm:ss'Z'\"))) as value")
+    js.repartition(4).write.text(folder)
+    writer = jobs.stream_ingest(jobs.stream_records(t.spark, folder), out, shared_path(t.spark, "cp"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    rows = t.spark.read.parquet(out)
+    return rows.groupBy(F.col("host").alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("normalized_message").alias("patterns")
+    )
+
+
+@query(
+    "s7_scan_logs",
+    Q.cte(Q.LINES)
+    + """ SELECT 'jsonl' AS format, count(*) AS n FROM lines UNION ALL SELECT 'plain_text', count(*) FROM benchmark, (SELECT unnest(string_split(text, chr(10))) AS l)
+      WHERE trim(l) <> ''""",
+)
+def s7(t):
+    folder = shared_path(t.spark, "mixed")
+    t.lines.selectExpr("to_json(named_struct('msg', line, 'service', source)) as value").coalesce(1).write.text(f"{folder}/a")
+    words = t.table("benchmark").selectExpr("explode(split(text, '\\n')) as value")
+    words.coalesce(1).write.text(f"{folder}/b")
+    return L.scan_logs(t.spark, [f"{folder}/a", f"{folder}/b"]).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
