@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.session import spread
+
 NOW = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
 
 
@@ -23,6 +25,10 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def wide(self, name: str) -> DataFrame:
+        """The table over all cores, for queries with much work per row."""
+        return spread(self.table(name))
+
     @cached_property
     def services(self) -> DataFrame:
         return self.table("nation").selectExpr(
@@ -39,7 +45,7 @@ class Tables:
             "case event_type when 'error' then 'LOG' when 'click' then 'METRIC' when 'purchase' then 'ALERT' "
             "when 'signup' then 'DEPLOYMENT' else 'TRACE' end"
         )
-        base = self.table("events").selectExpr(
+        base = self.wide("events").selectExpr(
             "event_id",
             "user_id",
             "value as v",
@@ -128,7 +134,7 @@ class Tables:
 
     @cached_property
     def lines(self) -> DataFrame:
-        docs = self.table("documents").selectExpr("doc_id", "lang", "source", "posexplode(split(text, '\\n')) as (n, line)")
+        docs = self.wide("documents").selectExpr("doc_id", "lang", "source", "posexplode(split(text, '\\n')) as (n, line)")
         return docs.filter("trim(line) <> ''").selectExpr(
             "concat('doc-', doc_id) as file",
             "doc_id",

@@ -301,7 +301,7 @@ a4 AS (
   SELECT *, CASE WHEN NOT here THEN 0.5e0 ELSE 0 END + CASE WHEN f1 THEN 0.5e0 ELSE 0 END + CASE WHEN f2 THEN 0.4e0 ELSE 0 END
     + CASE WHEN x1 THEN 0.2e0 ELSE 0 END + CASE WHEN x2 THEN 0.2e0 ELSE 0 END + CASE WHEN here AND NOT strong THEN 0.3e0 ELSE 0 END AS con FROM a3),
 ass AS (
-  SELECT *, round(greatest(0.0, least(1.0, 0.5 + (sup::DOUBLE - con::DOUBLE) * 0.25)), 4) AS rscore FROM a4)"""
+  SELECT *, CAST(CAST(greatest(0e0, least(1e0, 0.5e0 + (sup::DOUBLE - con::DOUBLE) * 0.25e0)) AS VARCHAR) AS DECIMAL(18, 4))::DOUBLE AS rscore FROM a4)"""
 
 
 @query(
@@ -517,9 +517,9 @@ def p7(t):
     "a19_consistency_scores",
     tl_sql(Q.MARK, Q.CORR, A8, *ALL_REL, CHAIN_SQL, EDGE_SQL)
     + """, pc AS (SELECT incident_id, round(score, 4) AS s FROM corr UNION ALL SELECT incident_id, score FROM rel UNION ALL SELECT incident_id, rscore FROM ass),
-    tm AS (SELECT incident_id, round(avg(s), 4) AS temporal_score FROM pc GROUP BY 1),
-    cn AS (SELECT incident_id, least(1.0e0, count(*) / 5.0e0) AS c FROM nodes GROUP BY 1), ce AS (SELECT incident_id, avg(confidence::DOUBLE) AS e FROM edges GROUP BY 1)
-    SELECT incident_id, coalesce(temporal_score, 0.0) AS temporal_score, round(CASE WHEN e IS NULL THEN c ELSE 0.6e0 * c + 0.4e0 * e END, 4) AS dependency_score
+    tm AS (SELECT incident_id, CAST(CAST(sum(s::DECIMAL(18, 4))::DOUBLE / count(*) AS VARCHAR) AS DECIMAL(18, 4))::DOUBLE AS temporal_score FROM pc GROUP BY 1),
+    cn AS (SELECT incident_id, least(1.0e0, count(*) / 5.0e0) AS c FROM nodes GROUP BY 1), ce AS (SELECT incident_id, sum(confidence::DECIMAL(18, 6))::DOUBLE / count(*) AS e FROM edges GROUP BY 1)
+    SELECT incident_id, coalesce(temporal_score, 0.0) AS temporal_score, CAST(CAST(CASE WHEN e IS NULL THEN c ELSE 0.6e0 * c + 0.4e0 * e END AS VARCHAR) AS DECIMAL(18, 4))::DOUBLE AS dependency_score
     FROM cn LEFT JOIN ce USING (incident_id) LEFT JOIN tm USING (incident_id)""",
 )
 def a19(t):

@@ -114,9 +114,12 @@ def first_alias(m: Column, field: str) -> Column:
     return F.coalesce(*[blank_to_null(F.try_element_at(m, F.lit(a))) for a in ALIASES[field]])
 
 
-def extract_raw(m: Column) -> dict[str, Column]:
-    """The seven common fields of a map as text, by alias."""
-    keys = normal_keys(m)
+def extract_raw(m: Column, keys: Column | None = None) -> dict[str, Column]:
+    """The seven common fields of a map as text, by alias.
+
+    ``keys`` is the map with normal keys, where it exists as a column.
+    """
+    keys = normal_keys(m) if keys is None else keys
     return {field: first_alias(keys, field) for field in COMMON_FIELDS}
 
 
@@ -139,12 +142,12 @@ def resolve_column(m: Column, name: str) -> Column:
     return F.when(F.map_contains_key(m, name), F.try_element_at(m, F.lit(name))).otherwise(fallback)
 
 
-def apply_mapping(m: Column, mapping: dict[str, str]) -> dict[str, Column]:
+def apply_mapping(m: Column, mapping: dict[str, str], keys: Column | None = None) -> dict[str, Column]:
     """Common fields where mapped ones replace the automatic ones."""
     unknown = set(mapping) - set(COMMON_FIELDS)
     if unknown or any(not v.strip() for v in mapping.values()):
         raise ValueError(f"bad field mapping: {mapping}")
-    auto = extract_raw(m)
+    auto = extract_raw(m, keys)
     return {
         field: convert(field, resolve_column(m, mapping[field]) if field in mapping else auto[field])
         for field in COMMON_FIELDS

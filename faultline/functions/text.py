@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 # Whitespace, the seven template rules in order, and their tokens.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+UNCLEAN = r"(?U)  |[\s\x1c-\x1f&&[^ ]]"
 UUID = r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
 IPV6 = r"\b(?:[0-9a-f]{1,4}:){2,7}[0-9a-f]{0,4}\b"
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|[01]?\d?\d)){3})\b"
@@ -45,34 +46,40 @@ def blank_to_null(c: Column) -> Column:
 
 
 def norm_ws(c: Column) -> Column:
-    """Trim, collapse whitespace runs to one blank, empty becomes null."""
-    return blank_to_null(F.trim(F.regexp_replace(c, WHITESPACE, " ")))
+    """Trim, collapse whitespace runs to one blank, empty becomes null.
+
+    Text that is clean already is only scanned, not rebuilt.
+    """
+    return blank_to_null(F.trim(F.when(c.rlike(UNCLEAN), F.regexp_replace(c, WHITESPACE, " ")).otherwise(c)))
 
 
 def norm_name(c: Column) -> Column:
     return F.lower(norm_ws(c))
 
 
-def _guarded(c: Column, needle: Column, pattern: str, token: str) -> Column:
-    return F.when(needle, F.regexp_replace(c, pattern, token)).otherwise(c)
-
-
 def message_pattern(c: Column) -> Column:
     """Replace variable parts of a message by placeholders, in a fixed order.
 
-    Each rule that needs a certain character runs only on rows that hold it,
-    so ordinary prose costs one scan per rule less.
+    Each rule runs only on rows whose input holds what the rule cannot match
+    without. Placeholders add no such text, so looking at the input suffices.
     """
-    cleaned = norm_ws(c)
-    cleaned = _guarded(cleaned, F.contains(cleaned, F.lit("-")), "(?iU)" + UUID, r"\{uuid\}")
-    cleaned = _guarded(cleaned, F.contains(cleaned, F.lit(":")), "(?iU)" + IPV6, r"\{ip\}")
-    cleaned = _guarded(cleaned, F.contains(cleaned, F.lit(".")), "(?U)" + IPV4, r"\{ip\}")
-    cleaned = _guarded(cleaned, F.contains(cleaned, F.lit(":")), "(?U)" + ISO_TIME, r"\{timestamp\}")
-    cleaned = F.regexp_replace(cleaned, "(?iU)" + HEX_HASH, r"\{hash\}")
-    has_q = F.contains(cleaned, F.lit("q")) | F.contains(cleaned, F.lit("Q"))
-    cleaned = _guarded(cleaned, has_q, "(?iU)" + REQUEST_ID, r"\{request_id\}")
-    cleaned = F.regexp_replace(cleaned, "(?U)" + NUMBER, r"\{id\}")
-    return cleaned
+
+    def has(text: str) -> Column:
+        return F.contains(c, F.lit(text))
+
+    rules = (
+        (has("-"), "(?iU)" + UUID, r"\{uuid\}"),
+        (has(":"), "(?iU)" + IPV6, r"\{ip\}"),
+        (has(".") & c.rlike(r"\p{Nd}\.\p{Nd}"), "(?U)" + IPV4, r"\{ip\}"),
+        (has(":") & has("-"), "(?U)" + ISO_TIME, r"\{timestamp\}"),
+        (c.rlike("[0-9a-fA-F]{32}"), "(?iU)" + HEX_HASH, r"\{hash\}"),
+        (c.rlike("[rR][eE][qQ]"), "(?iU)" + REQUEST_ID, r"\{request_id\}"),
+        (c.rlike(r"\p{Nd}"), "(?U)" + NUMBER, r"\{id\}"),
+    )
+    out = norm_ws(c)
+    for needed, pattern, token in rules:
+        out = F.when(needed, F.regexp_replace(out, pattern, token)).otherwise(out)
+    return out
 
 
 def share_pattern(a: Column, b: Column) -> Column:

@@ -58,3 +58,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_path(spark, "cut")
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a scan of fewer splits than cores, as one small file gives.
+
+    A scan with enough splits, which is any large table, stays as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

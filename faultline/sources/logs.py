@@ -42,7 +42,7 @@ def _record(df: DataFrame, fmt: str, common: dict[str, Column], raw_data: Column
     keep = {c: (F.col(c) if c in df.columns else missing) for c, missing in wanted.items()}
     null = F.lit(None).cast("string")
     columns = {f: common.get(f, null) for f in X.COMMON_FIELDS}
-    extra = [c for c in df.columns if c not in {"file", "line_number", "line", "_json", "_data", *PARSED_FIELDS}]
+    extra = [c for c in df.columns if c not in {"file", "line_number", "line", "_json", "_data", "_keys", "_kinds", *PARSED_FIELDS}]
     return df.select(
         keep["line_number"].alias("line_number"),
         F.lit(fmt).alias("format"),
@@ -54,10 +54,16 @@ def _record(df: DataFrame, fmt: str, common: dict[str, Column], raw_data: Column
     )
 
 
-def _common(m: Column, mapping: dict[str, str] | None) -> dict[str, Column]:
+def _with_data(df: DataFrame, data: Column) -> DataFrame:
+    """The row's map, and the same with normal keys, each computed once."""
+    return df.withColumn("_data", data).withColumn("_keys", X.normal_keys(F.col("_data")))
+
+
+def _common(mapping: dict[str, str] | None) -> dict[str, Column]:
+    m, keys = F.col("_data"), F.col("_keys")
     if mapping:
-        return X.apply_mapping(m, mapping)
-    return {f: X.convert(f, c) for f, c in X.extract_raw(m).items()}
+        return X.apply_mapping(m, mapping, keys)
+    return {f: X.convert(f, c) for f, c in X.extract_raw(m, keys).items()}
 
 
 def parse_plain(lines: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
@@ -71,20 +77,23 @@ def parse_plain(lines: DataFrame, mapping: dict[str, str] | None = None) -> Data
 
 
 def parse_kv(lines: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
-    df = lines.withColumn("_data", X.extract_kv(F.col("line")))
+    df = _with_data(lines, X.extract_kv(F.col("line")))
     raw = F.map_concat(F.create_map(F.lit("line"), F.col("line")), F.col("_data"))
-    return _record(df, "structured_text", _common(F.col("_data"), mapping), raw, F.lit(False))
+    return _record(df, "structured_text", _common(mapping), raw, F.lit(False))
 
 
 def parse_jsonl(lines: DataFrame, mapping: dict[str, str] | None = None, fmt: str = "jsonl") -> DataFrame:
     """One JSON object per line; other lines are kept and marked corrupt."""
-    df = lines.withColumn("_data", F.from_json("line", "map<string,string>"))
-    common = _common(F.col("_data"), mapping)
+    df = _with_data(lines, F.from_json("line", "map<string,string>"))
+    common = _common(mapping)
     if not (mapping and "timestamp" in mapping):
-        keys = X.normal_keys(F.col("_data"))
+        keys = F.col("_keys")
         text = X.first_alias(keys, "timestamp")
-        kinds = F.transform_values(F.from_json("line", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
-        kind_keys = X.normal_keys(kinds)
+        # Only a numeric text needs to know whether it was a JSON number.
+        number_text = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
+        typed = F.transform_values(F.from_json("line", "map<string,variant>"), lambda _, v: F.schema_of_variant(v))
+        df = df.withColumn("_kinds", F.when(text.rlike(number_text), X.normal_keys(typed)))
+        kind_keys = F.col("_kinds")
         kind = F.coalesce(
             *[
                 F.when(X.blank_to_null(F.try_element_at(keys, F.lit(a))).isNotNull(), F.try_element_at(kind_keys, F.lit(a)))
@@ -92,7 +101,7 @@ def parse_jsonl(lines: DataFrame, mapping: dict[str, str] | None = None, fmt: st
             ]
         )
         number = text.try_cast("double")
-        is_number = text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$")
+        is_number = kind_keys.isNotNull()
         common["timestamp"] = F.when(is_number, F.when(kind != "STRING", X.parse_epoch(number))).otherwise(
             common["timestamp"]
         )
@@ -123,8 +132,8 @@ def parse_csv(rows: DataFrame, mapping: dict[str, str] | None = None, columns: l
     names = columns or [c for c in rows.columns if c not in {"file", "line_number"}]
     filled = F.coalesce(*[F.when(F.trim(F.col(f"`{c}`")) != "", F.lit(True)) for c in names])
     data = F.create_map(*[x for c in names for x in (F.lit(c), F.col(f"`{c}`"))])
-    df = rows.filter(filled).withColumn("_data", data).drop(*names)
-    return _record(df, "csv", _common(F.col("_data"), mapping), F.col("_data"), F.lit(False))
+    df = _with_data(rows.filter(filled), data).drop(*names)
+    return _record(df, "csv", _common(mapping), F.col("_data"), F.lit(False))
 
 
 def scan_plain(spark, paths, mapping=None, line_numbers: bool = False) -> DataFrame:
