@@ -17,7 +17,7 @@ from faultline.operators import similar as M
 
 def alerts(t):
     """Orders as an alert sequence; a finished order is a resolved alert."""
-    return t.table("orders").selectExpr(
+    return t.wide("orders").selectExpr(
         "1 + o_custkey % 5 as project_id",
         "o_orderkey as seq",
         "if(o_orderstatus = 'F', 'RESOLVED', 'FIRING') as status",

@@ -205,7 +205,7 @@ def _sql_redact(x: str) -> str:
 
 @query("x31_redact_documents", f"SELECT doc_id, {_sql_redact('text')} AS text FROM documents")
 def x31(t):
-    return S.redact_columns(t.table("documents").select("doc_id", "text"), ["text"])
+    return S.redact_columns(t.wide("documents").select("doc_id", "text"), ["text"])
 
 
 @query("x31_redact_pages", f"SELECT page_id, md5({_sql_redact('html')}) AS digest FROM pages")

@@ -59,7 +59,7 @@ ISO_PREFIX = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:
 LEVEL_WORD = r"(?iU)\b(TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|CRITICAL|FATAL)\b"
 KEY_VALUE = r"(?U)(\w+)=('[^']*'|\"[^\"]*\"|\S+)"
 ISO_TEXT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}:?\d{2}(:\d{2})?)?)?$"
-EXTRA_TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss,SSS", "yyyy/MM/dd HH:mm:ss")
+SLASH_TIME = r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$"
 
 
 def _lookup(values: dict[str, str], key: Column) -> Column:
@@ -73,10 +73,8 @@ def parse_ts(c: Column) -> Column:
     Text of digits only is not an epoch here; use ``parse_epoch`` for numbers.
     """
     text = F.trim(c)
-    parsed = F.when(text.rlike(ISO_TEXT), F.try_to_timestamp(text))
-    for fmt in EXTRA_TIME_FORMATS:
-        parsed = F.coalesce(parsed, F.try_to_timestamp(text, F.lit(fmt)))
-    return parsed
+    known = text.rlike(ISO_TEXT) | text.rlike(SLASH_TIME)
+    return F.when(known, F.try_to_timestamp(F.translate(text, ",/", ".-")))
 
 
 def parse_epoch(c: Column) -> Column:

@@ -130,14 +130,28 @@ def titles_match(predicted: Column, gold: Column, aliases: Column) -> Column:
 
 
 def redact(c: Column, secrets: tuple[str, ...] = ()) -> Column:
-    """Credential-like values become ``***``; then every explicit secret."""
-    for _, pattern, replacement in REDACTIONS:
-        c = F.regexp_replace(c, pattern, replacement)
+    """Credential-like values become ``***``; then every explicit secret.
+
+    As in message_pattern, a rule runs where its input holds a part that the
+    rule cannot match without.
+    """
+    needed = {
+        "dsn_password": F.contains(c, F.lit("://")),
+        "bearer": c.rlike("(?iU)bearer|token"),
+        "basic": c.rlike("(?iU)basic"),
+        "assignment": c.rlike("[:=]"),
+        "jwt": F.contains(c, F.lit("eyJ")),
+        "vendor_key": c.rlike("(?iU)gsk_"),
+        "host_token": F.contains(c, F.lit("gh")) | F.contains(c, F.lit("github_pat_")),
+    }
+    out = c
+    for name, pattern, replacement in REDACTIONS:
+        out = F.when(needed[name], F.regexp_replace(out, pattern, replacement)).otherwise(out)
     for secret in secrets:
         if secret:
-            c = F.replace(c, F.lit(secret), F.lit("***"))
-            c = F.replace(c, F.lit(secret.replace("/", "%2F")), F.lit("***"))
-    return c
+            out = F.replace(out, F.lit(secret), F.lit("***"))
+            out = F.replace(out, F.lit(secret.replace("/", "%2F")), F.lit("***"))
+    return out
 
 
 def redact_nested(c: Column, dtype: T.DataType, secrets: tuple[str, ...] = ()) -> Column:
