@@ -68,7 +68,7 @@ def x14(t):
     count(*) AS occurrence_count, min(us) AS first_us, max(us) AS last_us FROM frec WHERE pattern IS NOT NULL GROUP BY 1, 2""",
 )
 def a1(t):
-    g = G.error_groups(t.records, order=("doc_id", "line_number"))
+    g = G.error_groups(t.records.withColumn("seq", F.expr("doc_id * 1000000 + line_number")))
     return g.selectExpr(
         "project_id",
         "fingerprint",

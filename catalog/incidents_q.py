@@ -216,7 +216,7 @@ def x29(t):
 
 
 CAND = """SELECT o_orderkey AS id, o_custkey AS incident_id, 'cause ' || substring(o_orderpriority, 3) || ' ' || o_orderkey AS title,
-  round(o_totalprice / 500000, 4) AS confidence FROM orders"""
+  CAST(CAST(o_totalprice / 500000 AS VARCHAR) AS DECIMAL(18, 4))::DOUBLE AS confidence FROM orders"""
 
 
 def candidates(t):
@@ -235,14 +235,14 @@ def package_scores(t):
 
 RANKED = f"""cd AS ({CAND}),
 cs AS (SELECT cd.*, CASE WHEN confidence > 0.5 THEN round((0.8e0 + 0.5e0) / 2, 4) ELSE 0.5e0 END AS ts, (incident_id % 10) / 10e0 AS ds FROM cd),
-cb AS (SELECT *, round(0.5e0 * confidence + 0.25e0 * ts + 0.25e0 * ds, 4) AS combined FROM cs),
+cb AS (SELECT *, CAST(CAST(0.5e0 * confidence + 0.25e0 * ts + 0.25e0 * ds AS VARCHAR) AS DECIMAL(18, 4))::DOUBLE AS combined FROM cs),
 rk AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY combined DESC, title) AS rank FROM cb)"""
 
 
-@query("w13_rank_hypotheses", Q.cte(RANKED) + " SELECT incident_id, title, round(combined, 3) AS combined, CAST(rank AS INTEGER) AS rank FROM rk")
+@query("w13_rank_hypotheses", Q.cte(RANKED) + " SELECT incident_id, title, combined, CAST(rank AS INTEGER) AS rank FROM rk")
 def w13(t):
     r = R.rank_hypotheses(candidates(t), package_scores(t))
-    return r.select("incident_id", "title", F.round("combined", 3).alias("combined"), "rank")
+    return r.select("incident_id", "title", "combined", "rank")
 
 
 @query(
