@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +22,32 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in REQUIRED_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Functions that run in workers are pickled by module name, so every worker
+    must be able to import the package.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_faultline_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    kept = tempfile.NamedTemporaryFile(prefix="faultline-", suffix=".zip")
+    with zipfile.ZipFile(kept, "w") as archive:
+        for base, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    kept.flush()
+    context.addPyFile(kept.name)  # served to the executors by the driver while it runs
+    context._faultline_shipped = kept
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for cut points and intermediate tables.
 
