@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.session import cut
+
 # Words are runs of anything but ASCII white space (fixed by the contracts of the queries).
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,9 +46,12 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     top = 2**63 - 1
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(top)).alias("_id"), text_or_empty(text_col).alias("_text"))
     many = d.groupBy("_id").agg(F.count("*").alias("_n")).where(f"_n > 1 or _id = {top}").select(F.col("_id").alias("_m"))
-    many = d.join(many, d["_id"] == many["_m"]).select("_id", content_key("_id", "_text").alias("_tie"), "_text").distinct()
-    once_only = d.join(many.select(F.col("_id").alias("_m")).distinct(), F.col("_id") == F.col("_m"), "left_anti")
-    return once_only.select("_id", F.lit(0).cast("long").alias("_tie"), "_text").unionByName(many)
+    zero = F.lit(0).cast("long").alias("_tie")
+    if many.isEmpty():  # reads ids only; the texts then need no join
+        return d.select("_id", zero, "_text")
+    many = cut(many)
+    again = d.join(many, F.col("_id") == F.col("_m")).select("_id", content_key("_id", "_text").alias("_tie"), "_text").distinct()
+    return d.join(many, F.col("_id") == F.col("_m"), "left_anti").select("_id", zero, "_text").unionByName(again)
 
 
 def plain_id(c: str = "_id") -> Column:
