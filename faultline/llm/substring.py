@@ -47,7 +47,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, second = w.prefix(0), w.prefix(1)
             place, rest = w.place[at], n[at] - w.place[at] - ANCHOR
             left, right = np.minimum(place, PERIOD - 1), np.minimum(rest, PERIOD - 1)
-            anchor = first.window(at, at + ANCHOR)
+            anchor = first.window(at, at + ANCHOR) >> np.uint64(16)  # brings contexts together; their equality rests on all 112 bits
             context = second.window(at - left, at + ANCHOR + right) + (left * PERIOD + right).astype(np.uint64)
             doc = w.doc[at] + row
             yield repeats.anchor_batch(anchor, context, ids[doc], ties[doc], place, np.zeros(len(at)), first_only=True)
