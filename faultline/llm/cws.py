@@ -20,8 +20,6 @@ text; rows without an id come last, by hash of the text. Extra columns are left
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,19 +42,21 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _with_successor_ranges(d: DataFrame) -> DataFrame:
-    """Add the first row of each range, as a guest, to the range before it; the first range follows the last."""
-    firsts = d.groupBy(*RANGE).agg(F.min("_at").alias("_at"))
+    """Add the first row of each range, as a guest, to the range before it; the first range follows the last.
+
+    First rows come with their texts from an aggregation, which combines before its shuffle.
+    """
+    place = F.struct("_at", "_tie")
+    firsts = d.groupBy(*RANGE).agg(F.min(place).alias("p"), F.min_by("_text", place).alias("_text"))
     order = Window.orderBy(*RANGE)
     back = F.struct(*RANGE)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = firsts.withColumn("_to", F.coalesce(F.lag(back).over(order), F.last(back).over(whole)))
-    firsts = firsts.select(*[F.col(c).alias(f"g{c}") for c in (*RANGE, "_at")], "_to")
-    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"g{c}") for c in (*RANGE, "_at")])
-    own = F.struct(F.lit(False).alias("_guest"), *RANGE)
-    guest = F.struct(F.lit(True).alias("_guest"), F.col("_to._none").alias("_none"), F.col("_to._range").alias("_range"))
-    both = F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, guest))
-    placed = d.join(firsts, same, "left").withColumn("_place", F.explode(both))
-    return placed.select("_place._guest", "_place._none", "_place._range", "_at", "_tie", "_text")
+    # the order of ranges is taken without the texts
+    to = firsts.select(*RANGE, F.coalesce(F.lag(back).over(order), F.last(back).over(whole)).alias("_to"))
+    guests = firsts.join(to, list(RANGE)).select(
+        F.lit(True).alias("_guest"), "_to._none", "_to._range", "p._at", "p._tie", "_text"
+    )
+    return d.select(F.lit(False).alias("_guest"), *RANGE, "_at", "_tie", "_text").unionByName(guests)
 
 
 def _sample(k: int) -> list[str]:
@@ -77,23 +77,37 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", samples: int
     third = F.floor(n / 3).cast("int")
     d = d.withColumn("_changed", F.concat(F.left("_text", n - third), F.left(F.coalesce("_next", F.lit("")), third)))
     key = [*RANGE, "_row"]
-    words = d.select(*key, F.posexplode(F.array(F.split("_text", SPACE), F.split("_changed", SPACE))).alias("_side", "_words"))
-    words = words.select(*key, "_side", F.explode("_words").alias("_w")).where("_w != ''")
-    words = words.select(*key, F.xxhash64("_w", F.lit(1)).alias("_word"), F.xxhash64("_w", F.lit(2)).alias("_word2"), "_side")
-    # two hashes name a word, 128 bits, so counts of different words do not meet
-    counts = words.groupBy(*key, "_word", "_word2").agg(F.sum(1 - F.col("_side")).alias("_n0"), F.sum("_side").alias("_n1"))
-    logs = counts.select(*key, "_word", F.expr("if(_n0 > 0, ln(_n0), null)").alias("_own"), F.expr("if(_n1 > 0, ln(_n1), null)").alias("_edited"))
-    mins = []
+    # words of both texts, and as a third list the facts of the document, which so come out of the same aggregation
+    sha = F.sha2("_changed", 256)
+    facts = [*[F.substring(sha, 1 + 16 * k, 16) for k in range(4)], F.hex(n.cast("long")), F.hex("_at"), F.hex(F.col("_guest").cast("long"))]
+    lists = F.array(F.split("_text", SPACE), F.split("_changed", SPACE), F.array(*facts))
+    words = d.select(*key, F.posexplode(lists).alias("_side", "_words"))
+    words = words.select(*key, "_side", F.posexplode("_words").alias("_p", "_w")).where("_w != ''")
+    fact = F.col("_side") == 2
+    words = words.select(
+        *key,
+        F.when(fact, F.conv("_w", 16, -10).cast("long")).otherwise(F.xxhash64("_w", F.lit(1))).alias("_word"),
+        F.when(fact, 0).otherwise(F.xxhash64("_w", F.lit(2))).alias("_word2"),  # two hashes name a word, 128 bits
+        F.when(fact, F.col("_p")).otherwise(-1).alias("_fact"),
+        "_side",
+    )
+    sides = [F.sum(F.when(F.col("_side") == k, 1).otherwise(0)).alias(f"_n{k}") for k in (0, 1)]
+    counts = words.groupBy(*key, "_fact", "_word", "_word2").agg(*sides)
+    logs = counts.select(*key, "_fact", "_word", F.expr("if(_n0 > 0, ln(_n0), null)").alias("_own"), F.expr("if(_n1 > 0, ln(_n1), null)").alias("_edited"))
+    mins = [F.max(F.when(F.col("_fact") == k, F.col("_word"))).alias(f"f{k}") for k in range(len(facts))]
     for k in range(samples):
         own, edited = _sample(k)
         mins += [F.min(F.expr(own)).alias(f"o{k}"), F.min(F.expr(edited)).alias(f"e{k}")]
     prints = logs.groupBy(*key).agg(*mins)
     own, edited = F.array(*[f"o{k}" for k in range(samples)]), F.array(*[f"e{k}" for k in range(samples)])
-    prints = prints.select(*key, own.alias("_own"), edited.alias("_edited"))
-    none = F.array(*[F.lit(None).cast("double")] * samples)
-    facts = d.select(*key, "_guest", F.when(~F.col("_none"), F.bitwise_not(F.col("_at"))).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2("_changed", 256).alias("edited_sha256"))
-    out = facts.join(prints, key, "left").select(
-        *facts.columns, F.coalesce("_own", none).alias("_own"), F.coalesce("_edited", none).alias("_edited")
+    out = prints.select(
+        *key,
+        (F.col("f6") == 1).alias("_guest"),
+        F.when(~F.col("_none"), F.bitwise_not("f5")).alias("doc_id"),
+        F.col("f4").alias("n_chars"),
+        F.lower(F.concat(*[F.lpad(F.hex(f"f{k}"), 16, "0") for k in range(4)])).alias("edited_sha256"),
+        own.alias("_own"),
+        edited.alias("_edited"),
     )
     out = out.withColumn("_after", F.lead("_own").over(Window.partitionBy(*RANGE).orderBy("_row")))
 
