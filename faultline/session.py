@@ -73,15 +73,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# Spark removes the shuffle files of a query at its end where this is on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The plan below is evaluated once, and a lost executor costs a re-read of
-    the written files instead of a recomputation of the whole lineage.
+    the written files instead of a recomputation of the whole lineage. The
+    shuffle files of the plan are of no more use then and are removed.
     """
     spark = df.sparkSession
     path = shared_path(spark, "cut")
-    df.write.mode("error").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("error").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
