@@ -127,11 +127,11 @@ def _result(final: bool):
 def substring_dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the removed word spans of every distinct document."""
     d = identified(docs, id_col, text_col)
-    found = repeats.settle(d.mapInArrow(_anchors, repeats.ROWS), first_only=True)
+    found = cut(repeats.settle(d.mapInArrow(_anchors, repeats.ROWS), first_only=True))
     stage = cut(repeats.with_marks(d, found).mapInArrow(_result(final=False), OUT))
     waiting = stage.where("_text is not null").select("_id", "_tie", "_text", "settled", "open")
     windows = repeats.settle(waiting.mapInArrow(_open_windows, repeats.ROWS), first_only=True, open_windows=False)
-    windows = windows.withColumn("extent", F.lit(1))
+    windows = cut(windows.withColumn("extent", F.lit(1)))
     again = repeats.marks(windows).select("_mid", "_mtie", F.col("settled").alias("more"))
     same = (F.col("_id") == F.col("_mid")) & (F.col("_tie") == F.col("_mtie"))
     both = waiting.join(again, same, "left").select(
