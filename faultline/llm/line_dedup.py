@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import content_key, once
+from faultline.session import cut
 
 WINDOW = 2
 PRIME = 2147483647
@@ -62,7 +63,7 @@ def line_dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     rows = rows.select("_id", "_key", "_c", body.alias("_body")).withColumn("_hash", F.xxhash64("_body"))
     # rows equal in id and text are one document, hence one occurrence
     often = rows.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
-    some = rows.join(often, "_hash", "left_semi")
+    some = cut(rows.join(often, "_hash", "left_semi"))
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"), F.col("_c.first").alias("l"))
     first = some.groupBy("_hash", "_body").agg(F.min(place).alias("_first"))
     again = some.join(first, ["_hash", "_body"]).where(place > F.col("_first"))
