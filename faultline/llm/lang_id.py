@@ -46,9 +46,9 @@ def learn(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"
     """
     d = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     h = F.xxhash64(F.col(id_col))
-    d = d.select(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(per_language)).alias("k"), h.alias("h"), F.col(text_col).alias("text"))
+    d = d.select(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(per_language)).alias("k"), h.alias("h"), F.left(text_col, F.lit(PART_CHARS)).alias("part"))
     chosen = d.groupBy("lang", "k").agg(F.min("h").alias("h"))
-    parts = d.join(chosen, ["lang", "k", "h"]).groupBy("lang", "k").agg(F.min(F.left("text", F.lit(PART_CHARS))).alias("part"))
+    parts = d.join(chosen, ["lang", "k", "h"]).groupBy("lang", "k").agg(F.min("part").alias("part"))
     found: dict[str, list[bytes]] = {}
     for row in parts.orderBy("lang", "k").collect():
         found.setdefault(row["lang"], []).append(_fold(row["part"]))
