@@ -4,8 +4,9 @@ Documents are sets of five-word shingles. A run samples a shared token: the
 shingle of least hash under the run's hash function, which two sets share with
 the probability of their similarity. Sets of one token form a bucket; a bucket
 above ``SMALL`` is split again, on two further sampled tokens of its own, and
-so on to ``DEPTH``. Small buckets are compared by brute force. Buckets still
-large there share a path of tokens; overlapping ones are one dense group,
+so on. Small buckets are compared by brute force. A token that ``ALIKE`` of a
+bucket or more share does not split it: these sets are alike and, as what is
+large after ``DEPTH`` splits, are dense. Overlapping dense buckets are one group,
 compared in cells of ``BLOCK`` by ``BLOCK`` sets, so no group is one task's.
 The runs, ``log(1 - recall) / log(1 - threshold)`` of them, bring the chance
 to miss a pair at the threshold below ``1 - recall``.
@@ -40,7 +41,8 @@ THRESHOLD = Fraction(4, 5)
 RECALL = 0.9999
 COORDINATES = 32
 SMALL = 64
-DEPTH = 4
+DEPTH = 8
+ALIKE = 0.6
 BLOCK = 1024
 COLUMNS = 4096
 
@@ -87,22 +89,26 @@ def _grouped(members: DataFrame) -> DataFrame:
 
 
 def _buckets(reps: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
-    """(v, node) of the small buckets, and (v, node) of those still large at the last depth."""
+    """(v, node) of the small buckets, and (v, node) of the large ones that splitting does not shrink."""
     start = reps.select("v", F.posexplode(F.slice("signature", 1, runs)).alias("run", "token"))
     level = cut(_grouped(start.select("v", F.xxhash64("run", "token").alias("node"))))
     small, depth = level.where(f"size <= {SMALL}").select("v", "node"), 0
-    large = level.where(f"size > {SMALL}").select("v", "node")
+    large = level.where(f"size > {SMALL}")
+    dense = large.select("v", "node").limit(0)
     signatures = reps.select("v", "signature")
-    while depth < DEPTH and not large.isEmpty():
+    while not large.isEmpty():
         depth += 1
         # two coordinates, chosen by the bucket
         first = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(COORDINATES)).cast("int")
         second = F.pmod(first + 1 + F.pmod(F.xxhash64("node", F.lit(-depth)), F.lit(COORDINATES - 1)).cast("int"), F.lit(COORDINATES))
-        rows = large.join(signatures, "v").select("v", "node", "signature", F.explode(F.array(first, second)).alias("c"))
-        rows = rows.select("v", F.xxhash64("node", "c", F.get("signature", F.col("c"))).alias("node"))
+        rows = large.join(signatures, "v").select("v", "node", F.col("size").alias("of"), "signature", F.explode(F.array(first, second)).alias("c"))
+        rows = rows.select("v", F.xxhash64("node", "c", F.get("signature", F.col("c"))).alias("node"), "of")
         level = cut(_grouped(rows))
         small = small.unionByName(level.where(f"size <= {SMALL}").select("v", "node"))
-        large = level.where(f"size > {SMALL}").select("v", "node")
+        stays = f"size >= {ALIKE} * of or {depth >= DEPTH}"
+        dense = dense.unionByName(level.where(f"size > {SMALL} and ({stays})").select("v", "node"))
+        large = level.where(f"size > {SMALL} and not ({stays})").drop("of")
+    large = dense
     # buckets with the same members are compared once
     print_of = small.groupBy("node").agg(
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("v")).alias("x"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("y")
