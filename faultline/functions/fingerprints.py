@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import message_pattern, norm_name
 
-_ESCAPE = r"(?<=[^\\](?:\\\\){0,20})\\u(?=[0-9A-Fa-f]{4})"
+_PAIR = r"\\\\"  # an escaped backslash
+_ESCAPE = r"\\u(?=[0-9A-Fa-f]{4})"
 
 
 def canonical_json(**fields: Column) -> Column:
     """Compact JSON with sorted keys and lower-case ASCII escapes."""
     body = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
     text = F.to_json(body, {"writeNonAsciiCharacterAsCodePoint": "true"})
-    parts = F.split(text, _ESCAPE)
-    lowered = F.transform(
-        parts,
-        lambda p, i: F.when(i == 0, p).otherwise(
-            F.concat(F.lower(F.substring(p, F.lit(1), F.lit(4))), F.substring(p, F.lit(5), F.length(p)))
-        ),
-    )
-    return F.when(F.contains(text, F.lit("\\u")), F.array_join(lowered, "\\u")).otherwise(text)
+
+    def lowered(part: Column) -> Column:
+        pieces = F.transform(
+            F.split(part, _ESCAPE),
+            lambda p, i: F.when(i == 0, p).otherwise(
+                F.concat(F.lower(F.substring(p, F.lit(1), F.lit(4))), F.substring(p, F.lit(5), F.length(p)))
+            ),
+        )
+        return F.array_join(pieces, "\\u")
+
+    # between escaped backslashes, however many, every \\u is an escape
+    whole = F.array_join(F.transform(F.split(text, _PAIR), lowered), "\\\\")
+    return F.when(F.contains(text, F.lit("\\u")), whole).otherwise(text)
 
 
 def _text(c: Column) -> Column:

@@ -54,11 +54,13 @@ def register_sql_functions(spark: SparkSession) -> None:
         "'severity', coalesce(trim(severity), ''), 'source', coalesce(trim(source), '')), "
         "map('writeNonAsciiCharacterAsCodePoint', 'true'))"
     )
-    split = f"split({material}, {_quoted(chr(40) + '?<=[^' + chr(92)*2 + '](?:' + chr(92)*4 + '){0,20})' + chr(92)*2 + 'u(?=[0-9A-Fa-f]{4})')})"
-    lowered = (
-        f"array_join(transform({split}, (p, i) -> CASE WHEN i = 0 THEN p "
+    escape = _quoted(chr(92) * 2 + "u(?=[0-9A-Fa-f]{4})")
+    # between escaped backslashes, however many, every \\u is an escape
+    pieces = (
+        f"array_join(transform(split(part, {escape}), (p, i) -> CASE WHEN i = 0 THEN p "
         "ELSE concat(lower(substring(p, 1, 4)), substring(p, 5)) END), r'\\u')"
     )
+    lowered = f"array_join(transform(split({material}, {_quoted(chr(92) * 4)}), part -> {pieces}), r'\\\\')"
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION event_fingerprint("
         "event_type STRING, source STRING, service STRING, severity STRING, pattern STRING) RETURNS STRING "

@@ -123,11 +123,9 @@ def select_logs(
     service: str | None = None,
     environment: str | None = None,
     severity: str | None = None,
-    size: int = 1000,
+    size: int | None = None,
 ) -> DataFrame:
-    """Logs of a time range by attribute, oldest first, at most ``size`` rows."""
-    if not 1 <= size <= 10_000:
-        raise ValueError("size must be in 1..10000")
+    """Logs of a time range by attribute, oldest first; all of them, or the first ``size``."""
     out = df.filter(F.col("timestamp").between(F.lit(start), F.lit(end)))
     if service is not None:
         out = out.filter(F.col("service") == service)
@@ -135,4 +133,5 @@ def select_logs(
         out = out.filter(F.col("environment") == environment)
     if severity is not None:
         out = out.filter(F.lower("severity").isin(*X.FILTER_TOKENS[severity]))
-    return out.orderBy("timestamp").limit(size)
+    out = out.orderBy("timestamp")
+    return out if size is None else out.limit(size)

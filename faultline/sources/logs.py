@@ -266,11 +266,11 @@ def parse_stats(parsed: DataFrame) -> DataFrame:
 
 
 def validate_mapping(
-    df: DataFrame, mapping: dict[str, str], require_message: bool = False, sample: int | None = 5
+    df: DataFrame, mapping: dict[str, str], require_message: bool = False, sample: int | None = None
 ) -> DataFrame:
     """Errors of a field mapping on a map column ``data``, one row per error.
 
-    ``sample`` is the number of rows looked at; None checks all of them.
+    ``sample`` is the number of rows looked at; all of them by default.
     """
     if not mapping:
         raise ValueError("at least one field mapping is required")
