@@ -238,10 +238,10 @@ def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     from faultline.llm.common import content_key
 
     classes = near_duplicates(docs, id_col, text_col)
-    kept = classes.where("_id = class_id and _tie = class_tie").select(F.col("_id").alias("_kid"), F.col("_tie").alias("_ktie"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    d = docs.withColumns({"_key": key, "_content": content_key(id_col, text_col)}).dropDuplicates(["_key", "_content"])
-    same = (F.col("_key") == F.col("_kid")) & ((F.col("_ktie") == 0) | (F.col("_ktie") == F.col("_content")))
+    kept = classes.where("_id = class_id and _tie = class_tie").select(F.col("_id").alias("__id"), F.col("_tie").alias("__tie"))
+    d = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
+    d = d.withColumn("__content", content_key("__key", text_col)).dropDuplicates(["__key", "__content"])
+    same = (F.col("__key") == F.col("__id")) & ((F.col("__tie") == 0) | (F.col("__tie") == F.col("__content")))
     return d.join(kept, same).select(*[d[c] for c in docs.columns])
 
 

@@ -67,17 +67,17 @@ def line_dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"), F.col("_c.first").alias("l"))
     first = some.groupBy("_hash", "_body").agg(F.min(place).alias("_first"))
     again = some.join(first, ["_hash", "_body"]).where(place > F.col("_first"))
-    gone = again.groupBy("_id", "_key").agg(F.collect_set("_c").alias("_gone")).withColumnsRenamed({"_id": "_gid", "_key": "_gkey"})
-    d = docs.withColumn("_key", content_key(id_col, text_col))
-    d = d.join(gone, F.col(id_col).eqNullSafe(F.col("_gid")) & (F.col("_key") == F.col("_gkey")), "left")
-    d, lines = once(d, "_lines", F.split(F.col(text_col), "\n")), F.col("_lines")
-    kept = F.filter(lines, lambda _, i: ~F.exists("_gone", lambda g: (i >= g["first"]) & (i <= g["last"])))
-    removed = F.aggregate("_gone", F.lit(0), lambda s, g: s + g["last"] - g["first"] + 1)
+    gone = again.groupBy("_id", "_key").agg(F.collect_set("_c").alias("__gone")).withColumnsRenamed({"_id": "__gid", "_key": "__gkey"})
+    d = docs.withColumn("__key", content_key(id_col, text_col))
+    d = d.join(gone, F.col(id_col).eqNullSafe(F.col("__gid")) & (F.col("__key") == F.col("__gkey")), "left")
+    d, lines = once(d, "__lines", F.split(F.col(text_col), "\n")), F.col("__lines")
+    kept = F.filter(lines, lambda _, i: ~F.exists("__gone", lambda g: (i >= g["first"]) & (i <= g["last"])))
+    removed = F.aggregate("__gone", F.lit(0), lambda s, g: s + g["last"] - g["first"] + 1)
     out = d.withColumns(
         {
             "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
             "n_removed": F.coalesce(removed, F.lit(0)).cast("long"),
-            text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
+            text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
         }
     )
     return out.select(*docs.columns, "n_lines", "n_removed")

@@ -122,8 +122,8 @@ def _join_source(left: DataFrame, targets: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with its own columns."""
     plan = mix_plan(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), F.col("copies").alias("_copies"))
-    d = docs.withColumn("_k", content_key(id_col, text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_k") == F.col("_key"))
-    out = d.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__key"), F.col("copies").alias("__copies"))
+    d = docs.withColumn("__k", content_key(id_col, text_col))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__k") == F.col("__key"))
+    out = d.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return out.select(*[d[c] for c in docs.columns])
