@@ -6,8 +6,10 @@ Every vector goes to its nearest lists, to several where their distances are
 within ``SPREAD`` of the least, as on boundaries. Centroids are linked to their
 neighbours and some far ones, and a beam search over that graph finds the lists
 near a vector or query. A query takes those within ``PRUNE`` times the least
-distance. Lists are searched whole, in cells of ``BLOCK`` vectors by
-``BLOCK`` queries, so that no list is one task's.
+distance. Lists next to each other in the halving form a region of ``REGION``
+lists, searched whole for every query that takes one of them; a region is cut
+in cells of ``VECTORS`` vectors by ``BLOCK`` queries, so that none is one
+task's, and a cell returns the best of all its lists as one.
 
 Inner product becomes distance by one more coordinate, which brings all
 vectors to the greatest norm; a query has 0 there.
@@ -40,7 +42,8 @@ LINKS, FAR_LINKS = 16, 4
 BEAM = 256
 COPIES, SPREAD = 4, 1.05
 PRUNE = 1.14
-BLOCK = 2048
+REGION = 32
+VECTORS, BLOCK = 8192, 1024
 SALTS = 64
 
 
@@ -84,6 +87,7 @@ class Lists:
                 a, b = x[near].mean(0), x[~near].mean(0)
             order = np.argsort(x @ (a - b), kind="stable")
             half = len(x) // 2
+            # the last is halved first, so neighbours in space have numbers in a row
             todo += [(x[order[:half]], want // 2), (x[order[half:]], want - want // 2)]
         self.centroids = np.array(cells)
         distance = self._square(self.centroids, self.centroids)
@@ -205,24 +209,25 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col="vec_id", vec_col=
         return spark.createDataFrame([], empty)
     model = spark.sparkContext.broadcast(fit(e))  # at most MAX_LISTS centroids
     schema = "k1 long, k2 long, vec array<double>, ids array<long>, lists array<int>"
-    posts = e.mapInArrow(_assign(model, SPREAD, COPIES, 4 * COPIES, queries=False), schema).withColumn("list", F.explode("lists")).drop("lists")
-    posts = cut(posts)
+    regions = F.explode(F.array_distinct(F.transform("lists", lambda x: F.floor(x / REGION).cast("int")))).alias("region")
+    posts = e.mapInArrow(_assign(model, SPREAD, COPIES, 4 * COPIES, queries=False), schema)
+    posts = cut(posts.select("k1", "k2", "vec", "ids", regions))
     q = d.where(is_query).select("vec_id", "k1", "k2", "vec")
     distinct = q.groupBy("k1", "k2").agg(F.any_value("vec").alias("vec"))
     probes = distinct.mapInArrow(_assign(model, prune, MAX_LISTS, BEAM, queries=True), "k1 long, k2 long, vec array<double>, lists array<int>")
-    probes = cut(probes.select("k1", "k2", "vec", F.explode("lists").alias("list")))
+    probes = cut(probes.select("k1", "k2", "vec", regions))
 
-    def blocks(t: DataFrame, name: str) -> DataFrame:
-        return t.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    def blocks(t: DataFrame, rows: int, name: str) -> DataFrame:
+        return t.groupBy("region").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
-    sizes = blocks(posts, "nv").join(blocks(probes, "nq"), "list")
+    sizes = blocks(posts, VECTORS, "nv").join(blocks(probes, BLOCK, "nq"), "region")
 
     def cells(t: DataFrame, own: str, other: str, ov: str, qv: str) -> DataFrame:
-        t = t.join(sizes, "list").withColumn(ov, F.pmod("k2", F.col(own)).cast("int"))
+        t = t.join(sizes, "region").withColumn(ov, F.pmod("k2", F.col(own)).cast("int"))
         return t.withColumn(qv, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("nv", "nq")
 
-    left = cells(posts, "nv", "nq", "bv", "bq").groupBy("list", "bv", "bq")
-    right = cells(probes, "nq", "nv", "bq", "bv").groupBy("list", "bv", "bq")
+    left = cells(posts, "nv", "nq", "bv", "bq").groupBy("region", "bv", "bq")
+    right = cells(probes, "nq", "nv", "bq", "bv").groupBy("region", "bv", "bq")
     found = left.cogroup(right).applyInPandas(_search(k), "q1 long, q2 long, k1 long, k2 long, score double, ids array<long>")
     found = found.groupBy("q1", "q2", "k1", "k2").agg(F.max("score").alias("score"), F.any_value("ids").alias("ids"))
     best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.col("ids")[0])
