@@ -9,7 +9,10 @@ near a vector or query. A query takes those within ``PRUNE`` times the least
 distance. Lists next to each other in the halving form a region of ``REGION``
 lists, searched whole for every query that takes one of them; a region is cut
 in cells of ``VECTORS`` vectors by ``BLOCK`` queries, so that none is one
-task's, and a cell returns the best of all its lists as one.
+task's, and a cell returns the best of all its lists as one. The region of the
+nearest list is searched first; its ``k + 1``th best is a floor, and from the
+other regions only what reaches the floor comes back, so what a query returns
+hardly grows with its regions.
 
 Inner product becomes distance by one more coordinate, which brings all
 vectors to the greatest norm; a query has 0 there.
@@ -40,7 +43,7 @@ LIST_ROWS = 128
 SAMPLE_PER_LIST = 16
 LINKS, FAR_LINKS = 16, 4
 BEAM = 256
-COPIES, SPREAD = 4, 1.05
+COPIES, SPREAD = 2, 1.05
 PRUNE = 1.14
 REGION = 32
 VECTORS, BLOCK = 8192, 1024
@@ -181,13 +184,19 @@ def _search(k: int):
             v, q = np.stack(posts["vec"].to_numpy()), np.stack(queries["vec"].to_numpy())
             least = np.array([x[0] for x in posts["ids"]])
             keys, qkeys = posts[["k1", "k2"]].to_numpy(), queries[["k1", "k2"]].to_numpy()
+            floor = queries["floor"].to_numpy()
             rough = q @ v.T
             for r in range(len(q)):
-                top = np.argpartition(-rough[r], min(k + 1, len(v)) - 1)[: k + 1]
-                edge = rough[r][top].min()
-                top = np.flatnonzero(rough[r] >= edge - 1e-9 * max(1.0, abs(edge)))  # ties and rounding
+                edge = floor[r]
+                if len(v) > k + 1 and edge == -np.inf:
+                    edge = np.partition(rough[r], len(v) - k - 1)[len(v) - k - 1]
+                top = np.flatnonzero(rough[r] >= edge - 1e-9 * max(1.0, abs(edge))) if edge > -np.inf else np.arange(len(v))  # ties and rounding
+                if not len(top):
+                    continue
                 score = (v[top] * q[r]).sum(axis=1)
-                top, score = (a[np.lexsort((least[top], -score))[: k + 1]] for a in (top, score))
+                best = np.lexsort((least[top], -score))[: k + 1]
+                best = best[score[best] >= floor[r]]
+                top, score = top[best], score[best]
                 out["q1"] += [qkeys[r, 0]] * len(top)
                 out["q2"] += [qkeys[r, 1]] * len(top)
                 out["k1"] += list(keys[top, 0])
@@ -209,26 +218,38 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col="vec_id", vec_col=
         return spark.createDataFrame([], empty)
     model = spark.sparkContext.broadcast(fit(e))  # at most MAX_LISTS centroids
     schema = "k1 long, k2 long, vec array<double>, ids array<long>, lists array<int>"
-    regions = F.explode(F.array_distinct(F.transform("lists", lambda x: F.floor(x / REGION).cast("int")))).alias("region")
+    regions = F.array_distinct(F.transform("lists", lambda x: F.floor(x / REGION).cast("int")))  # nearest first
     posts = e.mapInArrow(_assign(model, SPREAD, COPIES, 4 * COPIES, queries=False), schema)
-    posts = cut(posts.select("k1", "k2", "vec", "ids", regions))
+    posts = cut(posts.select("k1", "k2", "vec", "ids", F.explode(regions).alias("region")))
     q = d.where(is_query).select("vec_id", "k1", "k2", "vec")
     distinct = q.groupBy("k1", "k2").agg(F.any_value("vec").alias("vec"))
     probes = distinct.mapInArrow(_assign(model, prune, MAX_LISTS, BEAM, queries=True), "k1 long, k2 long, vec array<double>, lists array<int>")
-    probes = cut(probes.select("k1", "k2", "vec", regions))
+    probes = cut(probes.select("k1", "k2", "vec", regions.alias("regions")))
 
     def blocks(t: DataFrame, rows: int, name: str) -> DataFrame:
         return t.groupBy("region").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
-    sizes = blocks(posts, VECTORS, "nv").join(blocks(probes, BLOCK, "nq"), "region")
-
-    def cells(t: DataFrame, own: str, other: str, ov: str, qv: str) -> DataFrame:
-        t = t.join(sizes, "region").withColumn(ov, F.pmod("k2", F.col(own)).cast("int"))
-        return t.withColumn(qv, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("nv", "nq")
-
-    left = cells(posts, "nv", "nq", "bv", "bq").groupBy("region", "bv", "bq")
-    right = cells(probes, "nq", "nv", "bq", "bv").groupBy("region", "bv", "bq")
-    found = left.cogroup(right).applyInPandas(_search(k), "q1 long, q2 long, k1 long, k2 long, score double, ids array<long>")
+    def search(probes: DataFrame) -> DataFrame:
+        sizes = blocks(posts, VECTORS, "nv").join(blocks(probes, BLOCK, "nq"), "region")
+
+        def cells(t: DataFrame, own: str, other: str, ov: str, qv: str) -> DataFrame:
+            t = t.join(sizes, "region").withColumn(ov, F.pmod("k2", F.col(own)).cast("int"))
+            return t.withColumn(qv, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("nv", "nq")
+
+        left = cells(posts, "nv", "nq", "bv", "bq").groupBy("region", "bv", "bq")
+        right = cells(probes, "nq", "nv", "bq", "bv").groupBy("region", "bv", "bq")
+        return left.cogroup(right).applyInPandas(_search(k), "q1 long, q2 long, k1 long, k2 long, score double, ids array<long>")
+
+    none = F.lit(float("-inf"))
+    home = cut(search(probes.select("k1", "k2", "vec", F.get("regions", F.lit(0)).alias("region"), none.alias("floor"))))
+    # entries of one region are distinct, so k + 1 entries reach the floor
+    falling = Window.partitionBy("q1", "q2").orderBy(F.desc("score"))
+    floors = home.select("q1", "q2", F.col("score").alias("f"), F.row_number().over(falling).alias("r")).where(F.col("r") == k + 1)
+    known = (F.col("k1") == F.col("q1")) & (F.col("k2") == F.col("q2"))
+    others = probes.join(floors, known, "left").select(
+        "k1", "k2", "vec", F.explode(F.slice("regions", 2, MAX_LISTS)).alias("region"), F.coalesce("f", none).alias("floor")
+    )
+    found = home.unionByName(search(cut(others)))
     found = found.groupBy("q1", "q2", "k1", "k2").agg(F.max("score").alias("score"), F.any_value("ids").alias("ids"))
     best = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.col("ids")[0])
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
