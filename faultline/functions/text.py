@@ -208,6 +208,12 @@ def seq_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
+@F.pandas_udf(T.StringType())
+def case_folded(text: pd.Series) -> pd.Series:
+    """Texts as the ratio compares them; folding may lengthen a text, ``lower`` does not."""
+    return text.str.casefold()
+
+
 def letter_counts(c: Column) -> Column:
     """Map letter -> count of the lower-cased text, for ratio_bound."""
     chars = F.split(F.lower(c), "")
@@ -216,5 +222,5 @@ def letter_counts(c: Column) -> Column:
 
 
 def length_bound(a_len: Column, b_len: Column) -> Column:
-    """Highest ratio two lower-cased texts of these lengths can reach."""
+    """Highest ratio two case-folded texts of these lengths can reach."""
     return F.when(a_len + b_len > 0, 2.0 * F.least(a_len, b_len) / (a_len + b_len)).otherwise(F.lit(0.0))

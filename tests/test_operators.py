@@ -147,6 +147,13 @@ def test_similar_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_similar_pairs_fold_case_beyond_lower(spark):
+    rows = [(1, "ß" * 12), (2, "SS" * 12), (3, "ﬁle ﬁnd ﬁx"), (4, "FILE FIND FIX"), (5, "ΟΔΟΣ ΣΟΦΟΣ"), (6, "οδος σοφος"), (7, "other words here")]
+    df = spark.createDataFrame([(1, i, p, None, i) for i, p in rows], "project_id int, id int, pattern string, service_id int, arrival int")
+    got = {(r["l_id"], r["r_id"]): r["score"] for r in groups.similar_pairs(df, df, earlier_only=True).collect()}
+    assert got == {(2, 1): 1.0, (4, 3): 1.0, (6, 5): 1.0}
+
+
 def test_merge_similar_equals_arrival_order_loop(spark):
     rows = pattern_rows()
     schema = "project_id bigint, id bigint, pattern string, service_id bigint, arrival bigint"
