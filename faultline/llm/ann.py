@@ -203,7 +203,7 @@ def _search(k: int):
                 out["k2"] += list(keys[top, 1])
                 out["score"] += list(score)
                 out["ids"] += list(posts["ids"].to_numpy()[top])
-        return pd.DataFrame(out)
+        return pd.DataFrame(out | {"ids": pd.Series(out["ids"], dtype=object)})  # a type even where nothing is found
 
     return run
 

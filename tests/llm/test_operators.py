@@ -172,6 +172,26 @@ def test_neighbours_recall(spark):
     assert hit / total >= 0.9 and len(got) == total // 20
 
 
+def test_neighbours_of_all_regions_are_brute_force(spark, monkeypatch):
+    """With every list taken nothing is lost to the floor: ties, repeated vectors and repeated rows included."""
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    monkeypatch.setattr(ann, "REGION", 2)
+    monkeypatch.setattr(ann, "VECTORS", 24)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (500, 4))
+    x[:, 0] += 5  # none is zero
+    x[100:160] = x[100]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
+    df = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, k=5, prune=1e9).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    for q in range(0, len(x), 20):
+        score = x @ x[q]
+        best = sorted((i for i in range(len(x)) if i != q), key=lambda i: (-score[i], i))[:5]
+        assert [got[q][k] for k in range(1, 6)] == [(i, float(score[i])) for i in best]
+
+
 def test_secrets_find_tokens(docs, spark):
     planted = docs.select("doc_id", "text").unionByName(
         spark.createDataFrame([(10**6 + k, f'some words token = "{hashlib.sha1(str(k).encode()).hexdigest()}" more') for k in range(40)], "doc_id long, text string")
