@@ -116,7 +116,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "place", F.sha2("candidate", 256).alias("candidate_sha256"), *secrets.FEATURES, "score", "is_secret")
+    return out.select("doc_id", "place", "run", F.sha2("candidate", 256).alias("candidate_sha256"), *secrets.FEATURES, "score", "is_secret")
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Secret scans: candidates, and a random forest that removes false positives.
 
-A candidate is a run of 16 or more key characters within a word. Its features
-are its length, its shares of digits and capitals, how often the kind of
-character changes, distinct characters, dictionary coverage, path and address
-signs, and the words before and after it. Dictionary coverage is the share of
-its three-letter parts that are common in the words of all documents.
+A candidate is a run of 16 or more key characters within a word; a word gives all
+of its runs, told apart by ``run``. Its features are its length, its shares of
+digits and capitals, how often the kind of character changes, distinct
+characters, dictionary coverage, path and address signs, and the text before and
+after it. That text reaches to the neighbouring runs of the word and takes them
+in; before the first and after the last run it goes on in the neighbouring words.
+So a word of many runs gives no more text than a few times its length. Dictionary
+coverage is the share of its three-letter parts that are common in the words of
+all documents.
 
 The forest is trained on labelled findings, at most ``TRAIN_ROWS`` of a class,
 those of least hash. It comes out as a SQL expression, so scoring is a
@@ -27,6 +31,7 @@ from faultline.llm.common import SPACE, once
 from faultline.session import cut
 
 LEAST = 16
+RUN = r"[A-Za-z0-9+/_.\-]{%d,}=*" % LEAST
 TRAIN_ROWS = 20_000
 TREES, TREE_DEPTH = 20, 6
 COMMON = 1e-5
@@ -49,7 +54,12 @@ FEATURES = ("length", "digits", "capitals", "changes", "variety", "coverage", "h
 
 
 def candidates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, place (number of the word, from 0), word, candidate, and up to three words before and one after."""
+    """doc_id, place (number of the word, from 0), run (number in the word, from 0), candidate, and the text around it.
+
+    ``word`` is the part of the word between the neighbouring runs, ``ahead`` the text before
+    the candidate from the run before on, ``before`` up to three words before the first run,
+    ``after`` the word after the last run, or what stands up to the end of the next run.
+    """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).where(F.col("_t").rlike(r"[^\x20\x09-\x0D]{%d}" % LEAST))
     d = once(d, "_w", F.split(F.trim(F.regexp_replace("_t", SPACE, " ")), " ")).drop("_t")
     long = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.length(F.get("_w", i)) >= LEAST)
@@ -62,7 +72,18 @@ def candidates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         "doc_id", "place", word(0).alias("word"),
         F.concat_ws(" ", word(3), word(2), word(1)).alias("before"), F.coalesce(word(-1), F.lit("")).alias("after"),
     )
-    d = d.withColumn("candidate", F.regexp_extract("word", r"([A-Za-z0-9+/_.\-]{%d,}=*)" % LEAST, 1)).where("candidate != ''")
+    d = once(d, "_runs", F.regexp_extract_all("word", F.lit(f"({RUN})"), 1)).where(F.size("_runs") > 0)
+    d = once(d, "_gaps", F.split("word", RUN))  # one more than the runs
+
+    def part(i):
+        run, gap, empty = F.get("_runs", i), F.get("_gaps", i + 1), F.lit("")
+        ahead = F.concat(F.coalesce(F.get("_runs", i - 1), empty), F.get("_gaps", i))
+        after = F.when(i == F.size("_runs") - 1, F.col("after")).otherwise(F.concat(gap, F.get("_runs", i + 1)))
+        before = F.when(i == 0, F.col("before")).otherwise(empty)
+        return F.struct(i.alias("run"), F.concat(ahead, run, gap).alias("word"), ahead.alias("ahead"), before.alias("before"), after.alias("after"), run.alias("candidate"))
+
+    parts = F.transform(F.sequence(F.lit(0), F.size("_runs") - 1), part)
+    d = d.select("doc_id", "place", F.explode(parts).alias("_p")).select("doc_id", "place", "_p.*")
     return d.withColumn("candidate", F.regexp_replace("candidate", r"[.\-]+$", "")).where(F.length("candidate") >= LEAST)
 
 
@@ -91,7 +112,7 @@ def featured(found: DataFrame, common: DataFrame) -> DataFrame:
     kinds = c
     for pattern, kind in ((r"[0-9]", "9"), (r"[A-Z]", "A"), (r"[a-z]", "a"), (r"[^9Aa]", "-")):
         kinds = F.regexp_replace(kinds, pattern, kind)
-    ahead = F.split_part("word", c, F.lit(1))
+    ahead = F.col("ahead")
     flags = {
         "hex": c.rlike(r"(?i)^[0-9a-f]+$"),
         "path": c.rlike(r"/.*/|\.[a-z]{2,4}$"),
@@ -127,7 +148,7 @@ def train(labelled: DataFrame, label="label") -> Column | None:
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    d = labelled.select(F.col(label).alias("label"), *FEATURES, F.xxhash64("candidate", "before", "doc_id", "place").alias("_h"))
+    d = labelled.select(F.col(label).alias("label"), *FEATURES, F.xxhash64("candidate", "before", "doc_id", "place", "run").alias("_h"))
     sample = None
     for value in (0.0, 1.0):  # the rows of least hash of a class
         part = d.where(F.col("label") == value).orderBy("_h").limit(TRAIN_ROWS).drop("_h")
@@ -170,11 +191,16 @@ def _tree_sql(lines: list[str]) -> str:
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col="doc_id", text_col="text") -> DataFrame:
     """Every candidate with features, score and is_secret.
 
-    ``findings``: reviewed candidates (doc_id, place, label) to learn from, else known formats.
+    ``findings``: reviewed candidates (doc_id, place, run, label) to learn from, else known formats.
+    Without ``run`` they are of the first run of their words.
     """
     found = candidates(docs, id_col, text_col)
     d = cut(featured(found, dictionary(docs, text_col)))
-    labelled = known_findings(d) if findings is None else d.join(findings.select("doc_id", "place", "label"), ["doc_id", "place"])
+    if findings is None:
+        labelled = known_findings(d)
+    else:
+        run = F.col("run") if "run" in findings.columns else F.lit(0).alias("run")
+        labelled = d.join(findings.select("doc_id", "place", run, "label"), ["doc_id", "place", "run"])
     score = train(labelled)
     if score is None:
         score = F.coalesce(F.col("label"), F.lit(0.0)) if findings is None else F.lit(0.0)

@@ -1,5 +1,6 @@
 """Operators against brute force, on the small tables and on odd rows."""
 
+import base64
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -202,6 +203,42 @@ def test_secrets_find_tokens(docs, spark):
     assert not clean & got
 
 
+def test_secrets_take_every_run_of_a_word(docs, spark):
+    def key(k, n=36):
+        return base64.b64encode(hashlib.sha512(str(k).encode()).digest()).decode().replace("+", "x").replace("/", "y")[:n]
+
+    forms = {}
+    for k in range(40):
+        hub, aws = "ghp_" + key(k), "AKIA" + hashlib.sha1(str(k).encode()).hexdigest()[:16].upper()
+        forms[10**6 + 4 * k] = (f"aws_secret_access_key={key(k, 40)}", [key(k, 40)])
+        forms[10**6 + 4 * k + 1] = (f"https://host.invalid/long/way/items?token={hub}", [hub])
+        forms[10**6 + 4 * k + 2] = ('{"github_token_value":"%s"}' % hub, [hub])
+        forms[10**6 + 4 * k + 3] = ('{"a":"%s","b":"%s"}' % (aws, hub), [aws, hub])
+    planted = spark.createDataFrame([(i, f"some words {word} more") for i, (word, _) in forms.items()], "doc_id long, text string")
+    got = secrets.candidates(planted).collect()
+    for i, (word, keys) in forms.items():
+        runs = sorted((r.run, r.candidate) for r in got if r.doc_id == i)
+        assert [k for _, k in runs] == re.findall(r"[A-Za-z0-9+/_.-]{16,}=*", word)
+        assert [n for n, _ in runs] == list(range(len(runs))) and set(keys) <= {k for _, k in runs}
+        for r in got:
+            if r.doc_id == i:
+                assert r.place == 2 and r.ahead + r.candidate in word and r.word in word
+    scored = secrets.scan(docs.select("doc_id", "text").unionByName(planted)).where("is_secret and doc_id >= 1000000")
+    told = {(r.doc_id, r.candidate) for r in scored.collect()}
+    assert {(i, k) for i, (_, keys) in forms.items() for k in keys if k.startswith(("ghp_", "AKIA"))} <= told
+    # reviewed findings are of single runs
+    found = secrets.candidates(planted).where("doc_id % 4 = 3").select("doc_id", "place", "run", F.col("run").cast("double").alias("label"))
+    learned = {(r.run, r.is_secret) for r in secrets.scan(planted, found).where("doc_id % 4 = 3").collect()}
+    assert learned == {(0, False), (1, True)}
+
+
+def test_secrets_text_around_many_runs_stays_linear(spark):
+    row = ",".join(f'"{hashlib.sha1(str(k).encode()).hexdigest()}"' for k in range(2000))
+    got = secrets.candidates(spark.createDataFrame([(1, row + " " + row)], "doc_id long, text string"))
+    sizes = got.agg(F.count("*"), F.sum(F.length("word") + F.length("before") + F.length("after") + F.length("ahead"))).first()
+    assert sizes[0] == 4000 and sizes[1] < 20 * len(row)
+
+
 def test_odd_rows_and_empty_tables(odd, spark):
     none = spark.createDataFrame([], SCHEMA)
     runs = {
