@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS = "anchor long, context long, _id long, _tie long, place int, extent int, settled boolean"
@@ -50,10 +50,12 @@ def anchor_batch(anchor, context, ids, ties, place, extent, first_only: bool) ->
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in ROWS.split(", ")])
 
 
-def settle(rows: DataFrame, first_only: bool, open_windows: bool = True) -> DataFrame:
+def settle(rows: DataFrame, first_only: bool, open_windows: bool = True, heavy: tuple[Column, int] | None = None) -> DataFrame:
     """(_id, _tie, place, extent, open): settled places, and with ``open_windows`` those still to compare.
 
     ``first_only``: a context is settled by an earlier equal one; else by any other.
+    ``heavy``: the size of a context, and what the open ones of an anchor may sum to; beyond
+    that they come out with the further column ``hot`` true.
     """
     done = rows.where("settled").select("_id", "_tie", "place", "extent", F.lit(False).alias("open"))
     w = Window.partitionBy("anchor").orderBy("context", "_id", "_tie", "place")
@@ -70,8 +72,13 @@ def settle(rows: DataFrame, first_only: bool, open_windows: bool = True) -> Data
         r = r.withColumn("varies", F.lit(False))
     known = F.col("again") if first_only else F.col("again") | F.col("more")
     kinds = F.filter(F.array(F.when(known, False), F.when(~F.col("again") & F.col("varies"), True)), lambda x: x.isNotNull())
+    extra = []
+    if heavy:
+        size, most = heavy
+        r = r.withColumn("hot", F.col("varies") & (F.sum(F.when(~F.col("again"), size)).over(Window.partitionBy("anchor")) > most))
+        done, extra = done.withColumn("hot", F.lit(False)), ["hot"]
     found = r.where(known | (~F.col("again") & F.col("varies")))
-    return done.unionByName(found.select("_id", "_tie", "place", "extent", F.explode(kinds).alias("open")))
+    return done.unionByName(found.select("_id", "_tie", "place", "extent", *extra, F.explode(kinds).alias("open")))
 
 
 def marks(found: DataFrame) -> DataFrame:

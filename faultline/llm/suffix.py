@@ -7,6 +7,13 @@ contexts; where the contexts of an anchor differ, their bytes, at most 736 or
 so each, go to the anchor's shard. There all suffixes are sorted by induction
 (``induced``), and two windows are equal where neighbours share 400 bytes.
 
+A shard is sorted in memory, so none may outgrow a task. Where the open contexts
+of an anchor sum to more than ``HOT_BYTES``, their windows are dealt again by the
+anchor's offset in the window, ``NARROW[0]`` offsets at a time, and by the hash
+of the bytes that all windows of these offsets share; equal windows have equal
+ones. Equal contexts are settled again, and only what still differs is sorted.
+Groups beyond the bound even then are dealt by single windows, whose hashes decide.
+
 Defined cases: null text is empty. Rows equal in id and text are distinct
 strings of the corpus, so all their windows repeat; they are returned once. A repeat within one document
 counts. Rows without id come out as such. Extra columns are not read.
@@ -31,6 +38,8 @@ from faultline.session import cut
 WINDOW = 400
 ANCHOR = 64
 SHARD_BYTES = 1 << 20
+HOT_BYTES = 4 << 20
+NARROW = (16, 1)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -79,38 +88,79 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _open_spots(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Per slice of texts with open contexts: ids, ties, document begins, bytes, place and extent of each context."""
+    ids, ties, opened = batch.column("_id").to_numpy(), batch.column("_tie").to_numpy(), batch.column("open")
+    for row, offsets, data in text_slices(batch.column("_text")):
+        found = [(k, *repeats.spots(opened, row + k)) for k in range(len(offsets) - 1)]
+        place = np.concatenate([offsets[k] + p for k, p, _ in found])
+        if len(place):
+            doc = np.concatenate([np.full(len(p), k) for k, p, _ in found])
+            yield ids[doc + row], ties[doc + row], offsets[doc], data, place, np.concatenate([e for _, _, e in found])
+
+
+def _core_key(sums, anchor: np.ndarray, part: np.ndarray, width: int) -> np.ndarray:
+    """Hash of what all windows share that have the anchor at the offsets of a part."""
+    low = part * width
+    high = np.minimum(low + width - 1, WINDOW - ANCHOR)
+    return sums.window(anchor - low, anchor - high + WINDOW) + part.astype(np.uint64)
+
+
+def _narrowed(width: int):
+    """Rows of open contexts, cut where the anchor's offset passes a multiple of ``width``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, ties, begin, data, place, extent in _open_spots(batch):
+                sums, other = byte_prefix(data, 0), byte_prefix(data, 1)
+                _, offset = _anchor_of(sums, place)
+                most = offset // width
+                count = most - (offset - extent + 1) // width + 1
+                of = np.repeat(np.arange(len(place)), count)
+                part = most[of] - (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+                high = np.minimum(offset[of], part * width + width - 1)
+                low = np.maximum((offset - extent + 1)[of], part * width)
+                anchor = (place + offset)[of]
+                start, windows = anchor - high, high - low + 1
+                context = other.window(start, start + windows - 1 + WINDOW) + high.astype(np.uint64)
+                key = _core_key(sums, anchor, part, width)
+                yield repeats.anchor_batch(key, context, ids[of], ties[of], start - begin[of], windows, first_only=False)
+
+    return rows
+
+
 SEGMENT = "anchor long, _id long, _tie long, place int, extent int, body binary"
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of open contexts, with their anchors."""
+def _segments(width: int):
+    """The bytes of open contexts, with their anchors, or the keys they were dealt by at a width."""
     names = [x.split()[0] for x in SEGMENT.split(", ")]
-    for batch in batches:
-        ids, ties, opened = batch.column("_id").to_numpy(), batch.column("_tie").to_numpy(), batch.column("open")
-        for row, offsets, data in text_slices(batch.column("_text")):
-            found = [(k, *repeats.spots(opened, row + k)) for k in range(len(offsets) - 1)]
-            place = np.concatenate([offsets[k] + p for k, p, _ in found])
-            if not len(place):
-                continue
-            extent = np.concatenate([e for _, _, e in found])
-            doc = np.concatenate([np.full(len(p), k) for k, p, _ in found])
-            hashes = _anchor_of(data, place)
-            bodies = [data[a : a + e - 1 + WINDOW].tobytes() for a, e in zip(place, extent)]
-            columns = [hashes, ids[doc + row], ties[doc + row], (place - offsets[doc]).astype(np.int32), extent.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bodies, type=pa.binary())], names=names)
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, ties, begin, data, place, extent in _open_spots(batch):
+                sums = byte_prefix(data, 0)
+                key, offset = _anchor_of(sums, place)
+                if width:
+                    key = _core_key(sums, place + offset, offset // width, width).view(np.int64)
+                bodies = [data[a : a + e - 1 + WINDOW].tobytes() for a, e in zip(place, extent)]
+                columns = [key, ids, ties, (place - begin).astype(np.int32), extent.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(bodies, type=pa.binary())], names=names)
 
-def _anchor_of(data: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Hash of the anchor of the window at each place."""
-    sums = byte_prefix(data, 0)
+    return rows
+
+
+def _anchor_of(sums, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and offset of the anchor of the window at each place."""
     step = np.arange(WINDOW - ANCHOR + 1)
-    out = np.empty(len(place), dtype=np.int64)
+    out, offset = np.empty(len(place), dtype=np.int64), np.empty(len(place), dtype=np.int64)
     for k in range(0, len(place), 1024):  # windows are taken in blocks to bound memory
         at = place[k : k + 1024, None] + step
         hashes = sums.window(at, at + ANCHOR)
         best = np.argmin((hashes & np.uint64(0xFFFFFFFF00000000)) | step.astype(np.uint64), axis=1)
         out[k : k + 1024] = hashes[np.arange(len(best)), best].view(np.int64)
-    return out
+        offset[k : k + 1024] = best
+    return out, offset
 
 
 def _repeated(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,14 +234,33 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_tie"), *done], names=names)
 
 
+def _settled(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Repeated places that hashes settle, and the segments to sort, no key's beyond ``HOT_BYTES``."""
+    heavy = (F.col("extent") + (WINDOW - 1), HOT_BYTES)
+    level = cut(repeats.settle(d.mapInArrow(_anchors, repeats.ROWS), first_only=False, heavy=heavy))
+    done, segments = level.where("not open"), None
+    for width, narrower in zip((0, *NARROW), (*NARROW, None)):
+        opened = repeats.with_marks(d, level.where("open and not hot")).where("open is not null")
+        if segments is None:
+            segments = opened.mapInArrow(_segments(width), SEGMENT)
+        elif width > 1:
+            segments = segments.unionByName(opened.mapInArrow(_segments(width), SEGMENT))
+        hot = level.where("open and hot")
+        if narrower is None or hot.isEmpty():
+            break
+        rows = repeats.with_marks(d, hot).where("open is not null").mapInArrow(_narrowed(narrower), repeats.ROWS)
+        # contexts of one window do not differ where their keys are equal
+        level = cut(repeats.settle(rows, first_only=False, open_windows=narrower > 1, heavy=heavy))
+        done = done.unionByName(level.where("not open"))
+    return done.drop("hot"), segments
+
+
 def suffix_dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed byte spans."""
     d = identified(docs, id_col, text_col)
-    found = cut(repeats.settle(d.mapInArrow(_anchors, repeats.ROWS), first_only=False))
-    opened = repeats.with_marks(d, found.where("open")).where("open is not null")
-    segments = opened.mapInArrow(_segments, SEGMENT).repartition("anchor").sortWithinPartitions("anchor")
-    sorted_out = segments.mapInArrow(_sort_shards, "_id long, _tie long, place int, extent int")
-    every = found.where("not open").unionByName(sorted_out.withColumn("open", F.lit(False)))
+    done, segments = _settled(d)
+    sorted_out = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_shards, "_id long, _tie long, place int, extent int")
+    every = done.unionByName(sorted_out.withColumn("open", F.lit(False)))
     # rows equal in id and text count as so many copies, all repeated
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("_rid"), F.xxhash64(text_or_empty(text_col)).alias("_rh"))
     rows = rows.groupBy("_rid", "_rh").agg(F.count("*").alias("_rows")).where("_rows > 1")

@@ -71,7 +71,7 @@ def test_queues_spill_and_return_in_order():
         assert list(source - 100) == list(position)
 
 
-def test_suffix_dedup_is_brute_force(docs):
+def check_suffix_dedup(docs):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     count = Counter(b[i : i + 400] for _, b in rows for i in range(len(b) - 399))
     got = {r.doc_id: r for r in suffix.suffix_dedup(docs).collect()}
@@ -86,6 +86,32 @@ def test_suffix_dedup_is_brute_force(docs):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(gone.sum()), spans, kept)
 
 
+def test_suffix_dedup_is_brute_force(docs):
+    check_suffix_dedup(docs)
+
+
+def test_suffix_shards_stay_bounded_on_common_passages(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_BYTES", 6000)
+    rng = np.random.default_rng(5)
+
+    def noise(n):
+        return "".join(map(chr, rng.integers(97, 123, n)))
+
+    lines, licence, body = [noise(90) for _ in range(6)], noise(700), noise(450)
+    texts = [noise(500) + lines[k % 6] + noise(500) for k in range(180)]
+    texts += [noise(k % 40) + licence + noise(k % 50) for k in range(80)]
+    texts += [noise(100) + lines[k % 6] + body + noise(100) for k in range(12)] + [noise(300) + licence[:395] + noise(300) for _ in range(40)]
+    texts += [body[:380] * 3 + noise(k) for k in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    check_suffix_dedup(docs)
+    _, segments = suffix._settled(suffix.identified(docs, "doc_id", "text"))
+    sizes = [r[0] for r in segments.groupBy("anchor").agg(F.sum(F.length("body"))).select("sum(length(body))").collect()]
+    assert sizes and max(sizes) <= 6000
+    monkeypatch.setattr(suffix, "HOT_BYTES", 1 << 30)
+    _, whole = suffix._settled(suffix.identified(docs, "doc_id", "text"))
+    assert whole.groupBy("anchor").agg(F.sum(F.length("body")).alias("n")).where("n > 6000").count() > 0
+
+
 def test_substring_dedup_is_brute_force(docs):
     got, seen = {r.doc_id: r for r in substring.substring_dedup(docs).collect()}, set()
     for i, text in sorted((r.doc_id, r.text) for r in docs.collect()):
