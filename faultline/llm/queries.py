@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import configure
-from faultline.llm import ann, cws, jaccard, lang_id, line_dedup, mixing, packing, secrets, substring, suffix
+from faultline.llm import ann, cws, jaccard, lang_id, line_dedup, mixing, packing, resample, secrets, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,6 +123,32 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+# CRC-32 by its polynomial: a byte's remainder, then one step for each byte of the UTF-8 text.
+OP11_SQL = r"""
+WITH crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+both_ AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM both_),
+f AS (SELECT side, id, unnest(words) AS f FROM w
+  UNION ALL SELECT side, id, words[i] || ' ' || words[i + 1] FROM (SELECT side, id, words, unnest(range(1, len(words))) AS i FROM w)),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)),
+k AS (SELECT h.f, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))),
+    lambda c, b: xor(c // 256, t[(xor(c, b) % 256) + 1])), 4294967295) % 10000 AS bucket FROM h, crc),
+n AS (SELECT bucket, count(*) FILTER (WHERE side = 'd') AS s, count(*) FILTER (WHERE side = 'b') AS t FROM f JOIN k USING (f) GROUP BY 1),
+a AS (SELECT CAST(coalesce(sum(s), 0) + 10000 AS DOUBLE) AS S, CAST(coalesce(sum(t), 0) + 10000 AS DOUBLE) AS T FROM n),
+g AS (SELECT bucket, CAST(floor(1000 * ln((n.t + 1) * a.S / ((n.s + 1) * a.T))) AS BIGINT) AS gain FROM n, a),
+v AS (SELECT id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN k USING (f) JOIN g USING (bucket) WHERE side = 'd' GROUP BY 1),
+d AS (SELECT id AS doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(CAST((total - ((total % n_features) + n_features) % n_features) // n_features AS BIGINT), 0) AS weight,
+    CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN v USING (id) WHERE side = 'd'),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS fit FROM e WHERE n_words >= 20)
+SELECT e.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * fit // 100 THEN rank END AS rank FROM e LEFT JOIN r USING (doc_id)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,6 +157,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_language_id, op3_suffix_dedup, op4_substring_dedup, op5_best_fit_packing,
-    op6_mix_sources, op7_jaccard_join, op8_nearest_neighbours, op9_secret_scan, op10_fingerprints, pipeline,
+    op6_mix_sources, op7_jaccard_join, op8_nearest_neighbours, op9_secret_scan, op10_fingerprints, op11_importance_resampling,
+    pipeline,
 )}
-SQL = {"op1_line_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op7_jaccard_join": OP7_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op11_importance_resampling": OP11_SQL}
