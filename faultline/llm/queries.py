@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import configure
-from faultline.llm import ann, cws, jaccard, lang_id, line_dedup, mixing, packing, resample, secrets, substring, suffix
+from faultline.llm import ann, collocations, cws, jaccard, lang_id, line_dedup, mixing, packing, resample, secrets, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,6 +149,29 @@ SELECT e.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * fit // 100 TH
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS piece, lang, words FROM (SELECT lang, regexp_extract_all(unnest(
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words,
+    FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents))),
+f AS (SELECT lang, m, array_to_string(words[i:i + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(words) >= m) GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE m > 1 AND f >= 30),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.k, x.f AS l, y.f AS r, CAST(2000000 * CAST(a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score FROM k
+  JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(words[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(words[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c g ON g.lang = c.lang AND g.m > c.m AND 100 * g.a >= 80 * c.a AND contains(' ' || g.phrase || ' ', ' ' || c.phrase || ' '))
+SELECT c.lang, rank, c.phrase, a, l, r, n, score FROM (
+  SELECT c.lang, c.phrase, a, l, r, score, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank
+  FROM c JOIN b ON b.lang = c.lang AND b.phrase = c.phrase ANTI JOIN o ON o.lang = c.lang AND o.phrase = c.phrase) c JOIN t ON t.lang = c.lang WHERE rank <= 2000
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -158,6 +181,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_language_id, op3_suffix_dedup, op4_substring_dedup, op5_best_fit_packing,
     op6_mix_sources, op7_jaccard_join, op8_nearest_neighbours, op9_secret_scan, op10_fingerprints, op11_importance_resampling,
-    pipeline,
+    op12_collocations,     pipeline,
 )}
-SQL = {"op1_line_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op11_importance_resampling": OP11_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op12_collocations": OP12_SQL}
