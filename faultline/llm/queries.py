@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline import configure
-from faultline.llm import ann, collocations, cws, jaccard, lang_id, line_dedup, mixing, packing, resample, secrets, substring, suffix
+from faultline.llm import ann, collocations, cws, jaccard, lang_id, line_dedup, mixing, packing, resample, secrets, substring, suffix, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -172,6 +172,19 @@ SELECT c.lang, rank, c.phrase, a, l, r, n, score FROM (
 """
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id != c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -181,6 +194,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_line_dedup, op2_language_id, op3_suffix_dedup, op4_substring_dedup, op5_best_fit_packing,
     op6_mix_sources, op7_jaccard_join, op8_nearest_neighbours, op9_secret_scan, op10_fingerprints, op11_importance_resampling,
-    op12_collocations,     pipeline,
+    op12_collocations, op13_exact_top_k, pipeline,
 )}
-SQL = {"op1_line_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op12_collocations": OP12_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op12_collocations": OP12_SQL, "op13_exact_top_k": OP13_SQL}
