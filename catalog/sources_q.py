@@ -12,7 +12,7 @@ from catalog import query
 from catalog import roles_sql as Q
 from catalog.roles import NOW
 from faultline.functions import fields as X
-from faultline.session import shared_path
+from faultline.session import cut, shared_path
 from faultline.sources import events as EVT
 from faultline.sources import logs as L
 from faultline.sources import payloads as PL
@@ -347,20 +347,27 @@ def s19(t):
     return j.select(F.get_json_object("json", "$.k").cast("bigint").alias("id"), "json")
 
 
-def _drain(t, df, mode: str):
-    """Run a stream over what is there, into a memory table."""
-    name = "t" + shared_path(t.spark, "x")[-32:]
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = writer.option("checkpointLocation", shared_path(t.spark, "stream")).start()
-    q.awaitTermination()
-    return t.spark.table(name)
-
-
-def _as_stream(t, df):
-    """A static table written to the shared folder and read back as a stream."""
-    path = shared_path(t.spark, "input")
-    df.write.parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(path)
+def _arrive(t, df, at: str, job, parts: int = 3, write=None):
+    """The table of a stream that ``df`` reaches in ``parts`` spans of time, several files each.
+
+    The stream ends after each arrival and goes on from its checkpoint at the next.
+    A last row, without anything but a time two days on, moves the clock past all others.
+    """
+    folder, out, state = (shared_path(t.spark, x) for x in ("input", "out", "stream"))
+    df = cut(df)
+    us = F.unix_micros(at)
+    bounds = df.select(us.cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.01)
+    span = sum((F.when(us >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+    end = df.agg(F.max(at)).first()[0]
+    null = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema if f.name != at]
+    clock = t.spark.range(1).select(*null, (F.lit(end) + F.expr("interval 2 days")).alias(at)).select(*df.columns)
+    for rows in [*[df.where(span == k).repartition(4) for k in range(parts)], clock]:
+        rows.write.mode("append").parquet(folder)
+        stream = job(t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(folder))
+        writer = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+        writer = writer.foreachBatch(write(out)).outputMode("update") if write else writer.format("parquet").option("path", out)
+        writer.start().awaitTermination()
+    return out if write else t.spark.read.schema(stream.schema).parquet(out)
 
 
 @query(
@@ -369,26 +376,41 @@ def _as_stream(t, df):
     + """ SELECT project_id, severity, service, pattern AS normalized_message, count(*) AS n FROM rec WHERE pattern IS NOT NULL GROUP BY ALL""",
 )
 def t3(t):
-    from faultline.streaming import jobs
-
-    s = _as_stream(t, t.records.select("project_id", "severity", "service", "normalized_message", "timestamp"))
-    g = _drain(t, jobs.stream_error_groups(s), "complete")
-    names = t.records.select("project_id", "severity", "service", "normalized_message").distinct()
     from faultline.operators.groups import with_fingerprint
+    from faultline.streaming import jobs
 
-    keyed = with_fingerprint(names)
+    records = t.records.select("project_id", "severity", "service", "normalized_message", "timestamp")
+    path = _arrive(t, records, "timestamp", jobs.stream_error_groups, write=jobs.merge_updates)
+    g = jobs.latest_updates(t.spark, path, ["project_id", "fingerprint"])
+    keyed = with_fingerprint(records.select("project_id", "severity", "service", "normalized_message").distinct())
     return keyed.join(g.select("project_id", "fingerprint", F.col("occurrence_count").alias("n")), ["project_id", "fingerprint"]).drop("fingerprint")
 
 
+@query(
+    "t3_stream_error_windows",
+    Q.cte(Q.LINES, Q.REC)
+    + """ SELECT project_id, us // 86400000000 * 86400000000 AS start_us, count(*) AS n, count(DISTINCT (severity, service, pattern)) AS groups
+    FROM rec WHERE pattern IS NOT NULL GROUP BY ALL""",
+)
+def t3_windows(t):
+    from faultline.streaming import jobs
+
+    records = t.records.select("project_id", "severity", "service", "normalized_message", "timestamp")
+    w = _arrive(t, records, "timestamp", lambda s: jobs.stream_error_windows(s, width="1 day"))
+    return w.groupBy("project_id", F.unix_micros("start").alias("start_us")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"))
+
+
 @query(
     "t2_stream_dedupe",
     Q.cte(Q.LINES, Q.REC) + f", f AS (SELECT {Q.fingerprint(Q._q('LOG'), 'pattern', 'service', 'severity', Q._q(''))} AS fingerprint FROM rec) SELECT DISTINCT fingerprint FROM f",
 )
 def t2(t):
+    """With a state that forgets after an hour a fingerprint may pass again; the list of those that passed is compared."""
     from faultline.streaming import jobs
 
-    s = _as_stream(t, t.records.select("timestamp", "severity", "service", "normalized_message"))
-    return _drain(t, jobs.stream_dedupe(s, "3650 days").select("fingerprint"), "append")
+    records = t.records.select("timestamp", "severity", "service", "normalized_message")
+    passed = _arrive(t, records, "timestamp", lambda s: jobs.stream_dedupe(s, "1 hour").select("fingerprint", "timestamp"))
+    return passed.where(F.col("timestamp") <= F.lit(records.agg(F.max("timestamp")).first()[0])).select("fingerprint").distinct()
 
 
 def _alerts(t):
@@ -397,24 +419,31 @@ def _alerts(t):
     return alerts(t)
 
 
-@query(
-    "t4_stream_incidents",
-    None,
-)
+def _alerts_sql(columns: str) -> str:
+    from catalog.incidents_q import ALERTS
+
+    return Q.cte(ALERTS) + f" SELECT {columns} FROM outc"
+
+
+@query("t4_stream_incidents", _alerts_sql("project_id, seq, action, episode"))
 def t4(t):
     from faultline.streaming import jobs
 
-    return _drain(t, jobs.stream_incidents(_as_stream(t, _alerts(t).coalesce(1))), "append").select(
-        "project_id", "seq", "action", "episode"
-    )
+    s = _arrive(t, _alerts(t), "timestamp", lambda s: jobs.stream_incidents(s, bucket="1 day"))
+    return s.select("project_id", "seq", "action", "episode")
 
 
-@query("t5_stream_anomalies", None)
+@query(
+    "t5_stream_anomalies",
+    Q.cte("pts AS (SELECT event_type AS metric_name, epoch_us(ts) AS us, event_id AS id, value FROM events)", Q.rolling("pts", "metric_name"))
+    + """ SELECT metric_name, id, concat_ws(',', CASE WHEN abs(z) >= 2.5 THEN 'z_score' END, CASE WHEN abs(pct) >= 50 THEN 'percentage_change' END,
+      CASE WHEN pr <= 5 OR pr >= 95 THEN 'percentile' END) AS signals FROM roll WHERE n >= 4 AND (coalesce(abs(z) >= 2.5, false) OR coalesce(abs(pct) >= 50, false) OR pr <= 5 OR pr >= 95)""",
+)
 def t5(t):
     from faultline.streaming import jobs
 
     m = t.table("events").selectExpr("event_type as metric_name", "cast(ts as timestamp) as timestamp", "event_id as id", "value")
-    found = _drain(t, jobs.stream_anomalies(_as_stream(t, m.coalesce(1))), "append")
+    found = _arrive(t, m, "timestamp", lambda s: jobs.stream_anomalies(s, bucket="6 hours"))
     return found.select("metric_name", "id", F.array_join("signals", ",").alias("signals"))
 
 
