@@ -171,53 +171,75 @@ def test_collocations_of_odd_rows(spark, odd, top):
     assert collocations.collocations(odd.limit(0)).collect() == []
 
 
-def test_chunks_hold_every_start_once(monkeypatch):
-    monkeypatch.setattr(collocations, "CHUNK", 7)
-    monkeypatch.setattr(collocations, "LONG", 30)
-    monkeypatch.setattr(collocations, "_known", lambda phrases, bits: np.ones(len(phrases), dtype=bool))
+@pytest.mark.parametrize("collide", [False, True])
+def test_stretches_count_every_phrase_once(monkeypatch, collide):
+    monkeypatch.setattr(collocations, "STRETCH", 30)
+    monkeypatch.setattr(collocations, "CHUNK", 200)
+    monkeypatch.setattr(collocations, "_known", lambda h, bits: np.ones(len(h), dtype=bool))
+    if collide:  # hashes of two bits
+        real = collocations.Words.hashes
+        monkeypatch.setattr(collocations.Words, "hashes", lambda self, *a: real(self, *a) & np.uint64(3))
     rng = random.Random(2)
-    texts = [" ".join(rng.choices(["a", "b", "c", "x,", "d"], k=k)) for k in (0, 1, 5, 40, 41, 42, 43, 90)]
-    batch = pa.RecordBatch.from_arrays([pa.array([b"l"] * len(texts)), pa.array([t.encode() for t in texts])], names=["lang", "text"])
+    texts = [" ".join(rng.choices(["a", "b", "cc", "x,", "d\t"], k=k)) for k in (0, 1, 5, 40, 41, 42, 43, 90)] + ["y" * 90 + " a b a", ", ; " * 30]
+    langs = [rng.choice([b"l", b"m"]) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array([t.encode() for t in texts])], names=["lang", "text"])
+
+    class Sent:
+        value = (None, (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
+
     for depth in range(4):
         got = Counter()
+        for b in collocations._count_stripes(depth, Sent)(iter([batch])):
+            for r in b.to_pylist():
+                words = r["next"].split(b"\n")[:-1]
+                assert len(words) == len(r["n"])
+                for w, c in zip(words, r["n"]):
+                    got[r["lang"], r["prefix"] + b" " * bool(depth) + w] += c
+        want = Counter((lang, " ".join(w[i : i + depth + 1]).encode()) for lang, t in zip(langs, texts) for w in pieces(t) for i in range(len(w) - depth))
+        assert got == want
 
-        class Bits:
-            value = None
 
-        for b in collocations._count_stripes(depth, Bits)(iter([batch])):
-            for prefix, after, n in zip(b["prefix"].to_pylist(), b["next"].to_pylist(), b["n"].to_pylist()):
-                for w, c in zip(after, n):
-                    got[prefix.split(b"\n")[1] + b" " * bool(depth) + w] += c
-        want = Counter(" ".join(w[i : i + depth + 1]).encode() for t in texts for w in pieces(t) for i in range(len(w) - depth))
-        assert got == want
+def test_frequent_prefixes_are_dealt_by_the_next_word():
+    text = (b"a " + b" a ".join(b"w%d" % k for k in range(300))) * 3
+    batch = pa.RecordBatch.from_arrays([pa.array([b"l"]), pa.array([text])], names=["lang", "text"])
+
+    class Sent:
+        value = (np.full(collocations.FILTER_BITS // 64, 2**64 - 1, dtype=np.uint64), (np.array([collocations.hash_of(b"l", b"a")], dtype=np.uint64), np.array([7])))
+
+    (out,) = collocations._count_stripes(1, Sent)(iter([batch]))
+    of_a = [r for r in out.to_pylist() if r["prefix"] == b"a"]
+    assert {r["part"] for r in of_a} == set(range(7)) and len(of_a) == 7
+    assert all(r["part"] == 0 for r in out.to_pylist() if r["prefix"] != b"a")
 
 
 def test_merge_of_stripes_that_cross_batches():
     rng = random.Random(3)
-    rows = sorted(((rng.choice([b"p", b"q", b"r"]), rng.randint(0, 1), rng.sample([b"x", b"y", b"z", b""], rng.randint(1, 4))) for _ in range(60)), key=lambda r: r[:2])
-    rows = [(*r, [rng.randint(1, 9) for _ in r[2]]) for r in rows]
-    schema = pa.schema([("prefix", pa.binary()), ("shard", pa.int32()), ("next", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))])
+    rows = sorted(((rng.choice([b"k", b"l"]), rng.choice([b"p", b"q", b""]), rng.randint(0, 1), rng.sample([b"x", b"y", b"zz", b"\x00"], rng.randint(1, 4))) for _ in range(60)), key=lambda r: r[:3])
+    rows = [(*r[:3], b"".join(w + b"\n" for w in r[3]), [rng.randint(1, 9) for _ in r[3]]) for r in rows]
+    schema = pa.schema([("lang", pa.binary()), ("prefix", pa.binary()), ("part", pa.int32()), ("next", pa.binary()), ("n", pa.list_(pa.int64()))])
     want = Counter()
-    for p, s, words, n in rows:
-        for w, c in zip(words, n):
-            want[p, s, w] += c
+    for lang, p, s, words, n in rows:
+        for w, c in zip(words.split(b"\n"), n):
+            want[lang, p, s, w] += c
     for size in (1, 4, 60):
         batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), schema.types)], schema=schema) for i in range(0, 60, size)]
-        got = [tuple(r.values()) for b in collocations._merge_stripes(25, True)(iter(batches)) for r in b.to_pylist()]
-        counters = Counter((p, n) for p, w, n in got if w is not None)
-        assert counters == Counter((p, n) for (p, _, _), n in want.items() if n >= 25)
-        totals = Counter((p, n) for p, w, n in got if w is None)
+        got = [tuple(r.values()) for b in collocations._merge_stripes(20, True)(iter(batches)) for r in b.to_pylist()]
+        assert Counter(r for r in got if r[2] is not None) == Counter((lang, p, w, n) for (lang, p, _, w), n in want.items() if n >= 20)
         sums = Counter()
-        for (p, s, _), n in want.items():
-            sums[p, s] += n
-        assert totals == Counter((p, n) for (p, _), n in sums.items())
+        for (lang, p, s, _), n in want.items():
+            sums[lang, p, s] += n
+        assert Counter(r for r in got if r[2] is None) == Counter((lang, p, None, n) for (lang, p, _), n in sums.items())
+
+
+def test_filter_bits_are_those_of_the_tasks(spark):
+    phrases = [f"wort {k} é".encode() for k in range(300)]
+    bits = collocations._filter_of(spark.createDataFrame([(b"en", p) for p in phrases], "lang binary, phrase binary"), np.zeros(collocations.FILTER_BITS // 64, dtype=np.uint64))
 
+    def known(lang, phrases):
+        return collocations._known(np.array([collocations.hash_of(lang, p) for p in phrases], dtype=np.uint64), bits)
 
-def test_filter_bits_are_those_of_the_workers(spark):
-    phrases = [f"en\nwort {k} é".encode() for k in range(300)]
-    bits = collocations._filter_of(spark.createDataFrame([(p,) for p in phrases], "phrase binary"), np.zeros(collocations.FILTER_BITS // 64, dtype=np.uint64))
-    assert collocations._known(phrases, bits).all()
-    assert collocations._known([p + b"x" for p in phrases], bits).sum() < 3
+    assert known(b"en", phrases).all()
+    assert known(b"en", [p + b"x" for p in phrases]).sum() < 3 and known(b"de", phrases).sum() < 3
 
 
 # --- exact search
