@@ -47,7 +47,7 @@ def w1(t):
 )
 def w1_hot(t):
     """All events as a single series: the case in which a plain window is one task."""
-    s = anomaly.rolling_stats(series(t).withColumn("metric_name", F.lit("all")), slice_us=3_600_000_000)
+    s = anomaly.rolling_stats(series(t).withColumn("metric_name", F.lit("all")), slice_rows=1000)
     return s.select("id", "n_window", F.round("mean", 6).alias("mean"), "minimum", "maximum", F.round("pct_rank", 6).alias("pct_rank"))
 
 
@@ -99,7 +99,7 @@ def w5_load(t):
         "struct(l_orderkey, l_linenumber, l_extendedprice) as id",
         "l_extendedprice as value",
     )
-    s = anomaly.rolling_stats(li, keys=["l_suppkey"], slice_us=400 * 86_400_000_000)
+    s = anomaly.rolling_stats(li, keys=["l_suppkey"])
     signals = F.size(anomaly._signals(anomaly.AnomalyThresholds(), "value")) > 0
     return s.groupBy("l_suppkey").agg(
         F.count(F.lit(1)).alias("points"),

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.config import HOUR, AnomalyThresholds
+from faultline.config import AnomalyThresholds
 from faultline.functions.scores import pct_change, pct_rank, z_score
-from faultline.operators.slices import time_slice, with_carry
+from faultline.operators.slices import SLICE_ROWS, equal_slices, time_slice, with_carry
 
 
 def rolling_stats(
@@ -19,21 +19,26 @@ def rolling_stats(
     ts: str = "timestamp",
     tie: str = "id",
     value: str = "value",
-    slice_us: int | None = 6 * HOUR,
+    slice_us: int | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Statistics of the ``window_size`` points before each point of a series.
 
-    A series is cut into time slices, each preloaded with the points before
-    it, so one dominant series does not end in one task. ``slice_us=None``
-    gives the plain window for series known to be small.
+    A series of more than ``slice_rows`` points is cut into slices of about as
+    many, each preloaded with the points before it, so neither a dominant series
+    nor a dense hour ends in one task. ``slice_us`` gives slices of fixed time instead.
     """
     keys = list(keys)
     k = cfg.window_size
     if slice_us:
-        rows = with_carry(df.withColumn("_slice", time_slice(ts, slice_us)), keys, [ts, tie], [value], k, "_slice")
+        rows, many = df.withColumn("_slice", time_slice(ts, slice_us)), True
+    else:
+        rows, many = equal_slices(df, keys, ts, slice_rows)
+    if many:
+        rows = with_carry(rows, keys, [ts, tie], [value], k, "_slice")
         part = Window.partitionBy(*keys, "_slice").orderBy(ts, tie)
     else:
-        rows = df.withColumns({"_carried": F.lit(False), "_slice": F.lit(0)})
+        rows = rows.withColumn("_carried", F.lit(False))
         part = Window.partitionBy(*keys).orderBy(ts, tie)
     frame = part.rowsBetween(-k, -1)
     v = F.col(value)
@@ -146,7 +151,7 @@ def annotate_anomalies(
     entries: DataFrame,
     cfg: AnomalyThresholds = AnomalyThresholds(),
     extra_keys: Sequence[str] = (),
-    slice_us: int | None = 6 * HOUR,
+    slice_us: int | None = None,
 ) -> DataFrame:
     """Set ``anomaly`` on metric entries whose (series, time) was signalled.
 

@@ -1,4 +1,4 @@
-"""As-of joins as running minima over time slices: one shuffle, linear work."""
+"""As-of joins as running minima over slices of equal depth: linear work, no copies."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.scores import lag_score
-from faultline.operators.slices import time_slice
+from faultline.operators.slices import SLICE_ROWS, equal_slices
 
 
 @dataclass(frozen=True)
@@ -28,34 +28,23 @@ def next_targets(
     payload: Sequence[str] = (),
     ts: str = "timestamp",
     tie: str = "id",
-    slice_us: int | None = None,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Add to each row, per name, the earliest later target within its lag.
 
     The added column is a struct (us, <tie>, payload...) or null; ties go to
-    the lowest ``tie``. A row never matches itself. Time is cut into slices
-    and every target is also shown to the slices from which it can be
-    reached, so a hot key spreads over many tasks.
+    the lowest ``tie``. A row never matches itself. A key of more than
+    ``slice_rows`` rows is cut into slices of about as many; what lies ahead of a
+    slice is known from the first target of each slice, so no row is copied.
     """
     keys = list(keys)
-    longest = max(t.max_lag_us for t in targets.values())
-    width = slice_us or longest
-    back = -(-longest // width)
     flags = {name: F.coalesce(t.is_target, F.lit(False)) for name, t in targets.items()}
-    any_target = F.lit(False)
-    for flag in flags.values():
-        any_target = any_target | flag
-    here = time_slice(ts, width)
-    spread = F.when(any_target, F.sequence(here - back, here)).otherwise(F.array(here))
-    rows = (
-        df.withColumns({"_us": F.unix_micros(ts), "_home": here, "_seen": spread})
-        .withColumn("_slice", F.explode("_seen"))
-        .drop("_seen")
-    )
-    part = Window.partitionBy(*keys, "_slice")
+    rows, many = equal_slices(df, keys, ts, slice_rows)
+    rows = rows.withColumn("_us", F.unix_micros(ts))
+    body = F.struct(F.col("_us").alias("us"), F.col(tie), *[F.col(c) for c in payload])
+    part = Window.partitionBy(*keys, "_slice") if many else Window.partitionBy(*keys)
     by_time = part.orderBy(F.desc("_us"))
     by_row = part.orderBy(F.desc("_us"), F.desc(tie))
-    body = F.struct(F.col("_us").alias("us"), F.col(tie), *[F.col(c) for c in payload])
     added = {}
     for name, t in targets.items():
         candidate = F.when(flags[name], body)
@@ -66,9 +55,17 @@ def next_targets(
             after = F.min(candidate).over(by_row.rowsBetween(Window.unboundedPreceding, -1))
             best = F.when(near[tie] == F.col(tie), after).otherwise(near)
         added[name] = best
-    out = rows.withColumns(added).filter(F.col("_slice") == F.col("_home"))
+    out = rows.withColumns(added)
+    if many:
+        firsts = rows.groupBy(*keys, "_slice").agg(*[F.min(F.when(flags[n], body)).alias(f"_f_{n}") for n in targets])
+        ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+        names = [*keys, "_slice"]
+        later = firsts.select(*[F.col(c).alias(f"_k_{c}") for c in names], *[F.min(f"_f_{n}").over(ahead).alias(f"_f_{n}") for n in targets])
+        out = out.join(later, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in names], "left")
+        out = out.withColumns({n: F.coalesce(F.col(n), F.col(f"_f_{n}")) for n in targets})
+        out = out.drop(*[f"_k_{c}" for c in names], *[f"_f_{n}" for n in targets])
     kept = {n: F.when(F.col(n)["us"] - F.col("_us") <= t.max_lag_us, F.col(n)) for n, t in targets.items()}
-    return out.withColumns(kept).drop("_us", "_home", "_slice")
+    return out.withColumns(kept).drop("_us", "_slice")
 
 
 def asof_forward(
@@ -80,6 +77,7 @@ def asof_forward(
     min_score: float = 0.1,
     ts: str = "timestamp",
     tie: str = "id",
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Each source with its earliest target ahead: keys, ids, times, lag, score."""
     keys = list(keys)
@@ -89,7 +87,7 @@ def asof_forward(
         .groupBy(*keys, tie, ts)
         .agg(F.bool_or("_src").alias("_src"), F.bool_or("_tgt").alias("_tgt"))
     )
-    found = next_targets(both, keys, {"hit": Target(F.col("_tgt"), max_lag_us, strict)}, ts=ts, tie=tie)
+    found = next_targets(both, keys, {"hit": Target(F.col("_tgt"), max_lag_us, strict)}, ts=ts, tie=tie, slice_rows=slice_rows)
     lag = F.col("hit.us") - F.unix_micros(ts)
     score = lag_score(lag, max_lag_us)
     return (

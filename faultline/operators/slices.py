@@ -13,11 +13,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.session import cut
+
 
 def time_slice(ts: str | Column, width_us: int) -> Column:
     return F.floor(F.unix_micros(F.col(ts) if isinstance(ts, str) else ts) / width_us).cast("bigint")
 
 
+SLICE_ROWS = 250_000
+BROADCAST_BOUNDS = 1_000_000  # limits of slices, 8 bytes each
+
+
+def equal_slices(
+    df: DataFrame, keys: Sequence[str], ts: str, rows_per_slice: int = SLICE_ROWS, name: str = "_slice"
+) -> tuple[DataFrame, bool]:
+    """Number slices of about ``rows_per_slice`` rows along time, and say whether any series has more than one.
+
+    Limits are quantiles of a sketch of each longer series, so an hour with most of
+    the rows gets most of the slices. Rows of one time stamp stay together; null
+    times are in the first slice. Limits of a series are off by a hundredth of a
+    slice at most.
+    """
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    if most <= rows_per_slice:
+        return df.withColumn(name, F.lit(0)), False
+    depth = -(-most // rows_per_slice)
+    us = F.unix_micros(ts)
+    sketch = F.percentile_approx(us, [k / depth for k in range(1, depth)], max(10_000, 100 * depth))
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), sketch.alias("_b")).where(F.col("_n") > rows_per_slice)
+    step = F.greatest(F.floor(F.lit(depth * rows_per_slice) / F.col("_n")), F.lit(1))
+    some = F.array_distinct(F.transform(F.sequence(step, F.lit(depth - 1).cast("long"), step), lambda k: F.element_at("_b", k.cast("int"))))
+    limits = cut(long.where(step < depth).select(*[F.col(k).alias(f"_b_{k}") for k in keys], some.alias("_b")))
+    held = limits.agg(F.sum(F.size("_b"))).first()[0] or 0
+    on = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]
+    joined = df.withColumn("_us", us).join(F.broadcast(limits) if held <= BROADCAST_BOUNDS else limits, on, "left")
+    width = int(depth**0.5) + 1  # limits are found by every ``width``th first
+
+    def below(limits: Column) -> Column:
+        return F.size(F.filter(limits, lambda b: b < F.col("_us")))
+
+    coarse = F.expr(f"transform(sequence({width}, greatest(size(_b), {width}), {width}), k -> get(_b, k - 1))")
+    joined = joined.withColumn("_c", F.coalesce(below(coarse), F.lit(0)) * width)
+    fine = F.coalesce(below(F.slice("_b", F.col("_c") + 1, width)), F.lit(0))
+    number = F.when(F.col("_b").isNull() | F.col("_us").isNull(), 0).otherwise(F.col("_c") + fine)
+    return joined.withColumn(name, number).select(*df.columns, name), True
+
+
 def positions(
     df: DataFrame, keys: Sequence[str], slices: Sequence[str], order: Sequence[str | Column], name: str
 ) -> DataFrame:
