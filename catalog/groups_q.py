@@ -130,8 +130,8 @@ def distinct_patterns(t):
 @query("j12_x32_x33_similar_groups")
 def j12(t):
     p = distinct_patterns(t)
-    pairs = G.similar_pairs(p, p, earlier_only=True)
-    return pairs.selectExpr("project_id", "l_id", "r_id", "round(score, 6) as score", "classification")
+    best = G.best_matches(p, p, earlier_only=True)
+    return best.selectExpr("project_id", "l_id", "r_id", "round(score, 6) as score", "classification")
 
 
 @query("a2_merge_similar")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Whitespace, the seven template rules in order, and their tokens.
+LETTER_CELLS = 32
+
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 UNCLEAN = r"(?U)  |[\s\x1c-\x1f&&[^ ]]"
 UUID = r"\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b"
@@ -208,17 +211,16 @@ def seq_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([_ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
-@F.pandas_udf(T.StringType())
-def case_folded(text: pd.Series) -> pd.Series:
-    """Texts as the ratio compares them; folding may lengthen a text, ``lower`` does not."""
-    return text.str.casefold()
-
+@F.pandas_udf(T.StructType([T.StructField("len", T.IntegerType()), T.StructField("hist", T.ArrayType(T.IntegerType()))]))
+def letters(text: pd.Series) -> pd.DataFrame:
+    """Length and letter counts of texts as the ratio compares them, case-folded.
 
-def letter_counts(c: Column) -> Column:
-    """Map letter -> count of the lower-cased text, for ratio_bound."""
-    chars = F.split(F.lower(c), "")
-    distinct = F.array_distinct(chars)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda x: F.size(F.filter(chars, lambda y: y == x))))
+    Letters are folded into ``LETTER_CELLS`` cells, which keeps bounds valid.
+    Folding may lengthen a text, ``lower`` does not.
+    """
+    codes = [np.frombuffer(t.casefold().encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in text]
+    counts = [np.bincount(c % LETTER_CELLS, minlength=LETTER_CELLS).astype(np.int32) for c in codes]
+    return pd.DataFrame({"len": [len(c) for c in codes], "hist": pd.Series(counts, dtype=object)})
 
 
 def length_bound(a_len: Column, b_len: Column) -> Column:
