@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from faultline.session import cut
 
 BUCKETS = 10_000
-STRETCH = 1 << 21
+STRETCH = 1 << 19
 SCORE_STEP = 1024
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -52,6 +52,49 @@ _FOLD = bytes.maketrans(_UPPER + _PARTS, _UPPER.lower() + b" " * len(_PARTS))
 _BLANK = 0x20
 
 
+# The five primes of xxHash64.
+_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in _PRIMES)
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """xxhash64 of many slices: those of one length at once; from 32 bytes on one by one."""
+    import xxhash
+
+    padded = data + bytes(8)
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    fours = np.ndarray((len(data) + 1,), dtype="<u4", buffer=padded, strides=(1,))
+    ones = np.frombuffer(padded, dtype=np.uint8)
+    short = np.minimum(end - start, 32).astype(np.uint8)
+    order = np.argsort(short, kind="stable")
+    ends = np.cumsum(np.bincount(short, minlength=33))
+    out = np.empty(len(start), dtype=np.uint64)
+    for length in range(32):
+        which = order[ends[length - 1] if length else 0 : ends[length]]
+        if not len(which):
+            continue
+        at, left = start[which], length
+        h = np.full(len(at), np.uint64(length) + _P5)
+        while left >= 8:
+            h = _turned(h ^ (_turned(eights[at] * _P2, 31) * _P1), 27) * _P1 + _P4
+            at, left = at + 8, left - 8
+        if left >= 4:
+            h = _turned(h ^ (fours[at].astype(np.uint64) * _P1), 23) * _P2 + _P3
+            at, left = at + 4, left - 4
+        for k in range(left):
+            h = _turned(h ^ (ones[at + k].astype(np.uint64) * _P5), 11) * _P1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        out[which] = h ^ (h >> np.uint64(32))
+    long = order[ends[31] :]
+    out[long] = [xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())]
+    return out
+
+
 class Interned:
     """Distinct n-grams of a buffer in an open-addressed table.
 
@@ -60,10 +103,7 @@ class Interned:
     """
 
     def __init__(self, data: bytes, start: np.ndarray, end: np.ndarray, buckets: int, hashed=None):
-        import xxhash
-
-        one = hashed or xxhash.xxh64_intdigest
-        keys = np.fromiter((one(data[a:b]) for a, b in zip(start.tolist(), end.tolist())), dtype=np.uint64, count=len(start))
+        keys = (hashed or hashes)(data, start, end)
         size = 1 << max(4, int(2 * len(keys)).bit_length())
         raw = np.frombuffer(data, dtype=np.uint8)
         first = np.full(size, -1, dtype=np.int64)  # the occurrence that took the slot

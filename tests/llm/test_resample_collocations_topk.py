@@ -99,13 +99,23 @@ def test_hundreds_of_equal_rows_share_ranks(spark):
     assert len(got) == 500 and sorted(r["rank"] for r in got if r["rank"]) == list(range(1, 126))
 
 
+def test_hashes_are_xxhash64():
+    import xxhash
+
+    data = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8).tobytes()
+    start = np.array([k * 29 % 4900 for k in range(3000)])
+    end = start + np.array([k % 90 for k in range(3000)])
+    got = resample.hashes(data, start, end)
+    assert got.tolist() == [xxhash.xxh64_intdigest(data[a:b]) for a, b in zip(start, end)]
+
+
 def test_interning_compares_bytes():
     rng = random.Random(5)
     words = [bytes(rng.choices(b"ab", k=rng.randint(1, 4))) for _ in range(400)]
     data = b" ".join(words)
     end = np.cumsum([len(w) + 1 for w in words]) - 1
     start = end - [len(w) for w in words]
-    table = resample.Interned(data, start, end, 50, hashed=lambda w: 2**64 - 1 - len(w) % 2)  # nearly all keys collide
+    table = resample.Interned(data, start, end, 50, hashed=lambda _, a, b: np.uint64(2**64 - 1) - ((b - a) % 2).astype(np.uint64))  # nearly all keys collide
     want = Counter(words)
     got = {words[int(np.flatnonzero(table.slot == s)[0])]: int(table.count[s]) for s in table.used}
     assert got == want
