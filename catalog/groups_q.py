@@ -110,7 +110,7 @@ def patterns(t):
     return t.table("part").selectExpr(
         "1 + p_partkey % 5 as project_id",
         "p_partkey as id",
-        "concat('stock sync for ', p_name, ' of ', lower(p_brand), ' failed: ', lower(p_type)) as pattern",
+        "concat(p_name, ' ', lower(p_brand), ' ', lower(p_type)) as pattern",
         "if(p_partkey % 4 = 0, null, p_size % 8) as service_id",
         "p_partkey as arrival",
         "cast(1 + p_partkey % 3 as bigint) as occurrence_count",
@@ -127,14 +127,47 @@ def distinct_patterns(t):
     return first.select("project_id", "service_id", "pattern", "_b.*")
 
 
-@query("j12_x32_x33_similar_groups")
+# Ratios of each pattern and the earlier ones of its project and service scope.
+NEAR = (
+    """WITH RECURSIVE pt AS (SELECT 1 + p_partkey % 5 AS project_id, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size % 8 END AS service_id,
+    p_name || ' ' || lower(p_brand) || ' ' || lower(p_type) AS pattern, p_partkey AS id, 1 + p_partkey % 3 AS n FROM part
+    QUALIFY row_number() OVER (PARTITION BY project_id, service_id, pattern ORDER BY id) = 1),
+pr AS (SELECT x.project_id, x.id AS l, y.id AS r, x.pattern AS a, y.pattern AS b FROM pt x JOIN pt y ON y.project_id = x.project_id AND y.id < x.id
+    AND (x.service_id IS NULL OR y.service_id IS NULL OR x.service_id = y.service_id)),
+"""
+    + Q.ratios("pr")
+    + ", sc AS (SELECT pr.*, ratio FROM pr JOIN ratio USING (a, b) WHERE ratio >= 0.75)"
+)
+
+
+@query(
+    "j12_x32_x33_similar_groups",
+    NEAR
+    + """ SELECT project_id, l AS l_id, r AS r_id, round(ratio, 6) AS score, CASE WHEN ratio >= 0.92 THEN 'HIGH_CONFIDENCE' ELSE 'POSSIBLE_MATCH' END AS classification
+    FROM sc QUALIFY row_number() OVER (PARTITION BY project_id, l ORDER BY ratio DESC, r) = 1""",
+)
 def j12(t):
     p = distinct_patterns(t)
     best = G.best_matches(p, p, earlier_only=True)
     return best.selectExpr("project_id", "l_id", "r_id", "round(score, 6) as score", "classification")
 
 
-@query("a2_merge_similar")
+@query(
+    "a2_merge_similar",
+    NEAR
+    + """, ranked AS (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY id) AS place,
+      (SELECT list(r) FROM sc WHERE sc.l = pt.id AND ratio >= 0.92) AS close FROM pt),
+    walk AS (SELECT DISTINCT project_id, 0 AS place, [0]::BIGINT[] AS stands FROM pt
+      UNION ALL SELECT k.project_id, k.place, CASE WHEN close IS NOT NULL AND list_has_any(close, stands) THEN stands ELSE list_append(stands, k.id) END
+      FROM walk w JOIN ranked k ON k.project_id = w.project_id AND k.place = w.place + 1),
+    lead AS (SELECT unnest(arg_max(stands, place)[2:]) AS id FROM walk GROUP BY project_id),
+    best AS (SELECT l, r, ratio FROM sc WHERE r IN (SELECT id FROM lead) QUALIFY row_number() OVER (PARTITION BY l ORDER BY ratio DESC, r) = 1),
+    own AS (SELECT pt.*, CASE WHEN lead.id IS NULL THEN best.r ELSE pt.id END AS owner, lead.id IS NOT NULL AS leads, best.r, ratio
+      FROM pt LEFT JOIN lead ON lead.id = pt.id LEFT JOIN best ON best.l = pt.id)
+    SELECT project_id, owner AS id, max(pattern) FILTER (WHERE leads) AS pattern, 'HIGH' AS severity, arg_min(service_id, id) FILTER (WHERE service_id IS NOT NULL) AS service_id,
+      CAST(sum(n) AS BIGINT) AS occurrence_count, count(*) AS members, max(r) FILTER (WHERE leads) AS candidate, round(max(ratio) FILTER (WHERE leads), 6) AS candidate_score
+    FROM own GROUP BY project_id, owner""",
+)
 def a2(t):
     merged, candidates = G.merge_similar(distinct_patterns(t))
     n = candidates.groupBy("project_id", F.col("source_group_id").alias("id")).agg(
@@ -143,7 +176,14 @@ def a2(t):
     return merged.join(n, ["project_id", "id"], "left").drop("first_seen", "last_seen")
 
 
-@query("x33_sequence_ratio")
+@query(
+    "x33_sequence_ratio",
+    "WITH RECURSIVE p AS (SELECT p_partkey, p_brand, p_name || ' ' || p_type AS text FROM part), "
+    "f AS (SELECT p_brand, arg_min(text, p_partkey) AS first_text FROM p GROUP BY 1), "
+    "q AS (SELECT p_partkey, text AS a, first_text AS b FROM p JOIN f USING (p_brand)), "
+    + Q.ratios("q")
+    + " SELECT p_partkey, round(ratio, 6) AS ratio FROM q JOIN ratio USING (a, b)",
+)
 def x33(t):
     """Each part name against its brand-mates' first name."""
     p = t.table("part").selectExpr("p_partkey", "p_brand", "concat(p_name, ' ', p_type) as text")

@@ -191,18 +191,65 @@ def sim_incidents(t):
     return rows.withColumn("fingerprint", incident_fingerprint(F.col("service_id"), F.col("environment"), F.col("title")))
 
 
-@query("k1_j16_x29_similar_incidents")
-def k1(t):
+def rca_results(t):
+    """A result of root-cause analysis for each order; some have no hypothesis."""
+    title = "if(o_orderkey % 4 = 0, '', concat('late supply of ', lower(substring(o_orderpriority, 3))))"
+    return t.table("orders").selectExpr(
+        "o_orderkey as id",
+        "o_custkey as incident_id",
+        "timestamp_micros(1704067200000000 + o_orderkey % 9973 * 1000000) as created_at",
+        f"to_json(named_struct('primary_hypothesis', named_struct('title', {title}))) as result_data",
+    )
+
+
+SIMILAR = f"""WITH RECURSIVE {Q.SVC},
+g AS (SELECT c_custkey AS id, 1 + c_nationkey % 5 AS project_id, c_nationkey AS service_id, CASE WHEN c_custkey % 3 = 0 THEN 'staging' ELSE 'production' END AS environment,
+    lower(substring(min(o_orderpriority), 3)) || ' order backlog in ' || lower(c_mktsegment) || ' for customer ' || c_custkey AS title,
+    CASE arg_min(o_orderstatus, o_orderkey) WHEN 'F' THEN 'RESOLVED' WHEN 'P' THEN 'IDENTIFIED' ELSE 'OPEN' END AS status,
+    1704067200000000 + (c_custkey * 37 % 41760) * 60000000 AS started_at
+  FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_mktsegment, c_nationkey),
+h AS (SELECT o_custkey AS id, arg_max(CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'late supply of ' || lower(substring(o_orderpriority, 3)) END, (o_orderkey % 9973, o_orderkey)) AS hypothesis FROM orders GROUP BY 1),
+i AS (SELECT g.*, {Q.pattern('title')} AS identity, coalesce(' ' || svc.name, '') AS service_name, CASE WHEN hypothesis = '' THEN '' ELSE ' ' || hypothesis END AS prior
+  FROM g LEFT JOIN svc ON svc.id = g.service_id LEFT JOIN h ON h.id = g.id),
+x AS (SELECT *, title || ' ' || identity || ' ' || environment || service_name AS text FROM i),
+tok AS (SELECT side, id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) AS token FROM (
+  SELECT 's' AS side, id, text FROM x UNION ALL SELECT 'c', id, text || prior FROM x WHERE status IN ('IDENTIFIED', 'RESOLVED', 'CLOSED'))),
+tf AS (SELECT side, id, token, count(*) / CAST(sum(count(*)) OVER (PARTITION BY side, id) AS DOUBLE) AS w FROM tok GROUP BY side, id, token),
+norm AS (SELECT side, id, sqrt(sum(w * w)) AS norm FROM tf GROUP BY 1, 2),
+pr AS (SELECT s.id AS s, c.id AS c, s.project_id, s.identity AS a, c.identity AS b, s.service_id = c.service_id AS svc, s.environment = c.environment AS env, c.title, c.started_at, c.prior
+  FROM x s JOIN x c ON c.project_id = s.project_id AND c.id <> s.id AND c.status IN ('IDENTIFIED', 'RESOLVED', 'CLOSED')),
+{Q.ratios('pr')},
+dot AS (SELECT s.id AS s, c.id AS c, sum(s.w * c.w) AS dot FROM tf s JOIN tf c ON c.token = s.token AND c.side = 'c' JOIN pr ON pr.s = s.id AND pr.c = c.id WHERE s.side = 's' GROUP BY 1, 2),
+cs AS (SELECT pr.*, ratio, a = b AND svc AND env AS same, {Q.half_up('coalesce(dot / (ns.norm * nc.norm), 0.0)', 4)} AS cosine
+  FROM pr JOIN ratio USING (a, b) LEFT JOIN dot ON dot.s = pr.s AND dot.c = pr.c JOIN norm ns ON ns.side = 's' AND ns.id = pr.s JOIN norm nc ON nc.side = 'c' AND nc.id = pr.c),
+sc AS (SELECT *, CASE WHEN same THEN 0.95 ELSE {Q.half_up('(ratio * 0.3 + cosine * 0.25 + CASE WHEN svc THEN 0.1 ELSE 0.0 END + CASE WHEN env THEN 0.1 ELSE 0.0 END)', 4)} END AS score FROM cs),
+top AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY score DESC, started_at, c) AS rank FROM sc WHERE score >= 0.55 QUALIFY rank <= 5)"""
+
+
+def _similar(t):
     i = sim_incidents(t)
-    found = M.similar_incidents(M.profiles(i, t.services), M.profiles(M.historical(i), t.services))
-    return found.withColumn("signals", F.array_join("signals", ",")).withColumn("started_at", F.unix_micros("started_at"))
+    return M.similar_incidents(M.profiles(i, t.services), M.historical_candidates(i, rca_results(t), t.services))
+
+
+@query(
+    "k1_j16_x29_similar_incidents",
+    SIMILAR
+    + """ SELECT s AS incident_id, project_id, rank, c AS candidate_id, title AS candidate_title, score, started_at, nullif(substr(prior, 2), '') AS hypothesis,
+    concat_ws(',', CASE WHEN cosine >= 0.5 THEN 'embedding' END, CASE WHEN env THEN 'environment' END, CASE WHEN same THEN 'fingerprint' END,
+      CASE WHEN svc THEN 'service' END, CASE WHEN ratio >= 0.75 THEN 'title' END) AS signals FROM top""",
+)
+def k1(t):
+    return _similar(t).withColumn("signals", F.array_join("signals", ",")).withColumn("started_at", F.unix_micros("started_at"))
 
 
-@query("p8_historical_context")
+@query(
+    "p8_historical_context",
+    SIMILAR
+    + f""" SELECT s AS incident_id, count(*) AS prior_incident_count, '{M.DISCLAIMER}; ' || string_agg('Incident ' || c || ' (' || title || ') scored ' || printf('%.2f', {Q.half_up('score', 2)})
+      || ' similarity' || CASE WHEN prior = '' THEN '' ELSE '; prior RCA hypothesis: ' || substr(prior, 2) END, '; ' ORDER BY rank) AS notes FROM top GROUP BY s""",
+)
 def p8(t):
-    i = sim_incidents(t)
-    found = M.similar_incidents(M.profiles(i, t.services), M.profiles(M.historical(i), t.services))
-    return M.historical_context(found).select("incident_id", "prior_incident_count", F.array_join("notes", "; ").alias("notes"))
+    return M.historical_context(_similar(t)).select("incident_id", "prior_incident_count", F.array_join("notes", "; ").alias("notes"))
 
 
 @query(

@@ -241,3 +241,26 @@ corr AS (
   FROM corr0 WHERE raw >= 0.1)"""
 
 TIMELINE = (EV, GRP, INC, SVC, WIN, ME, MG, EN, AN)
+
+
+def _block(s: str, t: str) -> str:
+    """Length and place of the longest common substring, the first in s and then in t."""
+    longest = f"len(list_filter(range(1, length({s}) - i + 2), lambda n: contains({t}, substr({s}, i, n))))"
+    return f"coalesce(list_max(list_transform(range(1, length({s}) + 1), lambda i: {{'n': {longest}, 'i': -i}})), {{'n': 0, 'i': 0}})"
+
+
+def ratios(pairs: str) -> str:
+    """CTEs rw and ratio(a, b, ratio): sequence ratios of the distinct (a, b) of ``pairs``; texts below 200 letters."""
+    return f"""rp AS (SELECT DISTINCT a, b FROM {pairs} WHERE a <> '' AND b <> ''),
+rw AS (
+  SELECT a, b, lower(a) AS s, lower(b) AS t, {_block('lower(a)', 'lower(b)')} AS m, 0 AS depth FROM rp
+  UNION ALL
+  SELECT a, b, s, t, {_block('s', 't')} AS m, depth FROM (
+    SELECT a, b, side.s AS s, side.t AS t, depth + 1 AS depth FROM (
+      SELECT a, b, depth, unnest([{{'s': substr(s, 1, -m.i - 1), 't': substr(t, 1, instr(t, substr(s, -m.i, m.n)) - 1)}},
+        {{'s': substr(s, -m.i + m.n), 't': substr(t, instr(t, substr(s, -m.i, m.n)) + m.n)}}]) AS side FROM rw WHERE m.n > 0)) WHERE s <> '' AND t <> ''),
+ratio AS (SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE 2.0 * sum(m.n) / (length(a) + length(b)) END AS ratio FROM rw GROUP BY a, b)"""
+
+
+def half_up(x: str, digits: int) -> str:
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, 18)), {digits}) AS DOUBLE)"
