@@ -137,7 +137,7 @@ NOW_US = 1706659200000000
 
 WIN = f"win AS (SELECT *, started_us - 86400000000 AS w0, coalesce(ended_us, {NOW_US}) AS w1 FROM inc)"
 
-ME = """me AS (
+ME = """me AS MATERIALIZED (
   SELECT w.id AS incident_id, w.started_us, e.* FROM win w JOIN ev e ON e.project_id = w.project_id AND e.us BETWEEN w.w0 AND w.w1
     AND (e.environment IS NULL OR e.environment = w.environment)
     AND (w.service_id IS NULL OR e.service_id IS NULL OR e.service_id = w.service_id))"""
@@ -153,7 +153,7 @@ def iso(us: str) -> str:
     return f"strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S') || {fraction} || '+00:00'"
 
 
-EN = f"""en AS (
+EN = f"""en AS MATERIALIZED (
   SELECT incident_id, 'event:' || id AS id, lower(event_type) AS category, us, message AS title, message AS summary, severity,
     id AS event_id, error_group_id, service_id, metric_name, value, status, trace_id, span_id, parent_span_id, repository,
     version, changed_files, NULL::BIGINT AS occurrence_count, started_us FROM me
@@ -172,7 +172,7 @@ def rolling(source: str, keys: str, value: str = "value", us: str = "us", tie: s
     lag({value}) OVER (PARTITION BY {keys} ORDER BY {us}, {tie}) AS prev
   FROM {source}
   WINDOW w AS (PARTITION BY {keys} ORDER BY {us}, {tie} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
-roll AS (
+roll AS MATERIALIZED (
   SELECT *, ({value} - mean) / greatest(sd, 1e-9) AS z,
     CASE WHEN coalesce(prev, mean) <> 0 THEN ({value} - coalesce(prev, mean)) / abs(coalesce(prev, mean)) * 100.0 END AS pct,
     CASE WHEN n > 0 THEN (len(list_filter(hist, lambda h: h < {value})) + len(list_filter(hist, lambda h: h = {value})) / 2.0)
@@ -184,8 +184,8 @@ FIRED = "(abs(z) >= 2.5 OR abs(pct) >= 50 OR pr <= 5 OR pr >= 95)"
 
 AN = f"""pts AS (SELECT incident_id, coalesce(metric_name, title) AS series, us, id, value FROM en WHERE category = 'metric' AND value IS NOT NULL),
 {rolling('pts', 'incident_id, series')},
-fired AS (SELECT DISTINCT incident_id, series, us FROM roll WHERE n >= 4 AND {FIRED}),
-an AS (
+fired AS MATERIALIZED (SELECT DISTINCT incident_id, series, us FROM roll WHERE n >= 4 AND {FIRED}),
+an AS MATERIALIZED (
   SELECT en.*, (f.us IS NOT NULL) AS anomaly, svc.name AS service_name
   FROM en LEFT JOIN fired f ON en.category = 'metric' AND f.incident_id = en.incident_id
     AND f.series = coalesce(en.metric_name, en.title) AND f.us = en.us

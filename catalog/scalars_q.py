@@ -213,7 +213,15 @@ def x31b(t):
     return S.redact_columns(t.table("pages"), ["html"]).select("page_id", F.md5("html").alias("digest"))
 
 
-@query("x31_redaction_hits")
+def _sql_hits(rule: str) -> str:
+    flags = "'i'" if rule.startswith("(?iU)") else "''"
+    return f"len(regexp_extract_all(text, {Q._q(rule.removeprefix('(?iU)').removeprefix('(?U)'))}, 0, {flags}))"
+
+
+@query(
+    "x31_redaction_hits",
+    "SELECT " + ", ".join(f"CAST(sum({_sql_hits(rule)}) AS BIGINT) AS {name}" for name, rule, _ in S.REDACTIONS) + " FROM documents",
+)
 def x31c(t):
     hits = S.redaction_hits(F.col("text"))
     return t.table("documents").agg(*[F.sum(c).cast("bigint").alias(n) for n, c in hits.items()])
