@@ -102,6 +102,59 @@ def s5(t):
     return p.select(F.col("request_id").cast("bigint").alias("id"), "message", "severity", "service")
 
 
+def _written(t, lines) -> str:
+    """A folder of text files, 16 of them."""
+    folder = shared_path(t.spark, "lines")
+    lines.select(lines.columns[0]).repartition(16).write.text(folder)
+    return folder
+
+
+@query(
+    "s1_scan_plain_files",
+    Q.cte(Q.LINES) + f""" SELECT us, {Q.severity('level')} AS severity, 'doc ' || doc_id || ' ' || trim(line) AS message FROM lines""",
+)
+def s1_files(t):
+    line = F.expr(f"concat({TS}, ' ', level, ' doc ', doc_id, ' ', trim(line))")
+    return L.scan_plain(t.spark, _written(t, t.lines.select(line.alias("line")))).select(_us(), "severity", "message")
+
+
+@query(
+    "s2_scan_key_value_files",
+    Q.cte(Q.EV) + " SELECT us - us % 1000000 AS us, 'svc' || (user_id % 5) AS service, message, 'r' || id AS request_id FROM ev WHERE message IS NOT NULL",
+)
+def s2_files(t):
+    line = F.expr(
+        """concat("time=", date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss'Z'"), " app=svc", user_id % 5, " msg='", message, "' request_id=r", id)"""
+    )
+    e = t.events.where("message is not null").select(line.alias("line"))
+    return L.scan_kv(t.spark, _written(t, e)).select(_us(), "service", "message", "request_id")
+
+
+@query(
+    "s4_scan_jsonl_files",
+    Q.cte(Q.EV)
+    + """ SELECT id % 10 = 7 AS corrupt, CASE WHEN id % 10 <> 7 THEN us END AS us, CASE WHEN id % 10 <> 7 THEN message END AS message,
+      CASE WHEN id % 10 <> 7 THEN 's' || k END AS service FROM ev""",
+)
+def s4_files(t):
+    stamp = "date_format(timestamp, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
+    line = F.expr(f"if(id % 10 = 7, 'not json', to_json(named_struct('@timestamp', {stamp}, 'msg', message, 'Application', concat('s', k))))")
+    return L.scan_jsonl(t.spark, _written(t, t.events.select(line.alias("line")))).select("corrupt", _us(), "message", "service")
+
+
+@query(
+    "s5_scan_csv_documents",
+    "SELECT doc_id, md5(text) AS digest, source AS service FROM documents WHERE text <> ''",
+)
+def s5_documents(t):
+    """Texts with line breaks, commas and quotes as cells, in few files of many blocks."""
+    folder = shared_path(t.spark, "csv")
+    d = t.table("documents").selectExpr("cast(doc_id as string) as request_id", "text as message", "source as service")
+    d.coalesce(2).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
+    p = L.scan_csv(t.spark, folder).where("message is not null")
+    return p.select(F.col("request_id").cast("bigint").alias("doc_id"), F.md5("message").alias("digest"), "service")
+
+
 @query(
     "s6_detect_formats",
     r"""WITH s AS (SELECT doc_id, list_filter(list_slice(string_split(text, chr(10)), 1, 8), lambda x: trim(x) <> '') AS l FROM documents)
@@ -473,7 +526,7 @@ def t1(t):
 )
 def s7(t):
     folder = shared_path(t.spark, "mixed")
-    t.lines.selectExpr("to_json(named_struct('msg', line, 'service', source)) as value").coalesce(1).write.text(f"{folder}/a")
-    words = t.table("benchmark").selectExpr("explode(split(text, '\\n')) as value")
-    words.coalesce(1).write.text(f"{folder}/b")
+    t.lines.selectExpr("to_json(named_struct('msg', line, 'service', source)) as value").repartition(4).write.text(f"{folder}/a")
+    words = t.table("benchmark").selectExpr("explode(split(replace(text, ',', ';'), '\\n')) as value")  # no file looks like CSV
+    words.repartition(2).write.text(f"{folder}/b")
     return L.scan_logs(t.spark, [f"{folder}/a", f"{folder}/b"]).groupBy("format").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import fields as X
 from faultline.operators.slices import positions
+from faultline.sources import quoted
 
 PARSED_FIELDS = ("line_number", "format", *X.COMMON_FIELDS, "raw_data", "file", "corrupt")
 SAMPLE_LINES = 8
@@ -154,18 +155,14 @@ def scan_json(spark, paths, mapping=None, line_numbers: bool = False) -> DataFra
 
 
 def scan_csv(spark, paths, mapping=None, line_numbers: bool = False) -> DataFrame:
-    """CSV files that share one header; data rows count from 2 when numbered."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("mode", "PERMISSIVE")
-    rows = reader.option("enforceSchema", False).option("escape", '"').csv(paths)
-    names = rows.columns
-    rows = rows.select("*", F.col("_metadata.file_path").alias("file"))
-    if line_numbers:
-        rows = rows.withColumns(
-            {"_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}
-        )
-        rows = positions(rows, ["file"], ["_block"], ["_at"], "line_number")
-        rows = rows.withColumn("line_number", F.col("line_number") + 1).drop("_block", "_at")
-    return parse_csv(rows, mapping, names)
+    """CSV files, each with its own header; data rows count from 2 when numbered.
+
+    A file is read by many tasks, also where quoted cells hold line breaks.
+    """
+    rows = quoted.rows(spark, paths).filter(F.exists(F.map_values("data"), lambda v: F.trim(v) != ""))
+    rows = rows if line_numbers else rows.withColumn("line_number", F.lit(None).cast("bigint"))
+    df = _with_data(rows, F.col("data")).drop("data")
+    return _record(df, "csv", _common(mapping), F.col("_data"), F.lit(False))
 
 
 register_format("plain_text", scan_plain)
@@ -249,8 +246,7 @@ def scan_logs(
         for row in detect_formats(spark, paths).orderBy("file").collect():
             by_format.setdefault(row["format"], []).append(row["file"])
     for fmt, files in by_format.items():
-        groups = [[f] for f in files] if fmt == "csv" else [files]
-        parts.extend(_FORMATS[fmt](spark, group, mapping, line_numbers=line_numbers) for group in groups)
+        parts.append(_FORMATS[fmt](spark, files, mapping, line_numbers=line_numbers))
     if not parts:
         raise ValueError("no lines and no paths")
     out = parts[0]
