@@ -36,6 +36,14 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def private(docs: DataFrame) -> str:
+    """A beginning of names that no column of ``docs`` has, whatever its case."""
+    begin = "__"
+    while any(c.lower().startswith(begin) for c in docs.columns):
+        begin += "_"
+    return begin
+
+
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_id, _tie, _text): null text as empty, null id as the largest number.
 

@@ -235,14 +235,15 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", recall: f
 
 def one_of_each(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """The documents that are the least of their class, with their own columns; rows equal in id and text are one."""
-    from faultline.llm.common import content_key
+    from faultline.llm.common import content_key, private
 
+    p = private(docs)
     classes = near_duplicates(docs, id_col, text_col)
-    kept = classes.where("_id = class_id and _tie = class_tie").select(F.col("_id").alias("__id"), F.col("_tie").alias("__tie"))
-    d = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
-    d = d.withColumn("__content", content_key("__key", text_col)).dropDuplicates(["__key", "__content"])
-    same = (F.col("__key") == F.col("__id")) & ((F.col("__tie") == 0) | (F.col("__tie") == F.col("__content")))
-    return d.join(kept, same).select(*[d[c] for c in docs.columns])
+    kept = classes.where("_id = class_id and _tie = class_tie").select(F.col("_id").alias(f"{p}id"), F.col("_tie").alias(f"{p}tie"))
+    d = docs.withColumn(f"{p}key", F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)))
+    d = d.withColumn(f"{p}content", content_key(f"{p}key", text_col)).dropDuplicates([f"{p}key", f"{p}content"])
+    same = (F.col(f"{p}key") == F.col(f"{p}id")) & ((F.col(f"{p}tie") == 0) | (F.col(f"{p}tie") == F.col(f"{p}content")))
+    return d.join(kept, same).select(*docs.columns)
 
 
 def report(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

@@ -1,8 +1,9 @@
 """Language ID by compression with per-language dictionaries.
 
-A language is a raw-content zstandard dictionary: texts of a bounded sample of
+A language is a raw-content zstandard dictionary: parts of a bounded sample of
 labelled documents, ``PER_LANGUAGE`` of them with at most ``PART_CHARS``
-characters each. A text, its letters in lower case with single spaces, is
+characters each, from a hashed place of the text; they share ``DICT_BYTES``
+evenly. A text, its letters and their marks in lower case with single spaces, is
 encoded in blocks of ``BLOCK`` bytes with every dictionary; the language of the
 fewest bytes is predicted. In a text below ``SHORT`` bytes a byte decides, so it
 is encoded behind each of ``CARRIERS`` parts of the dictionary, whose own size
@@ -17,12 +18,13 @@ Extra columns stay, and the input is not reordered.
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.common import private
+
 UNKNOWN = "und"
 PER_LANGUAGE = 64
 PART_CHARS = 2048
@@ -34,8 +36,7 @@ CARRIER_BYTES = 3 << 10
 LEVEL = 6
 MIN_MARGIN = 0.001
 SCALE = 4.0  # bytes of difference that make a language e times less likely, at least
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def learn(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE) -> dict[str, bytes]:
@@ -46,13 +47,16 @@ def learn(labelled: DataFrame, id_col="doc_id", text_col="text", lang_col="lang"
     """
     d = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     h = F.xxhash64(F.col(id_col))
-    d = d.select(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(per_language)).alias("k"), h.alias("h"), F.left(text_col, F.lit(PART_CHARS)).alias("part"))
+    # another hash than the one that chooses documents
+    begin = F.pmod(F.xxhash64(F.col(id_col), F.lit("part")), F.greatest(F.length(text_col) - PART_CHARS + 1, F.lit(1)))
+    part = F.substring(F.col(text_col), (begin + 1).cast("int"), F.lit(PART_CHARS))
+    d = d.select(F.col(lang_col).alias("lang"), F.pmod(h, F.lit(per_language)).alias("k"), h.alias("h"), part.alias("part"))
     chosen = d.groupBy("lang", "k").agg(F.min("h").alias("h"))
     parts = d.join(chosen, ["lang", "k", "h"]).groupBy("lang", "k").agg(F.min("part").alias("part"))
     found: dict[str, list[bytes]] = {}
     for row in parts.orderBy("lang", "k").collect():
         found.setdefault(row["lang"], []).append(_fold(row["part"]))
-    return {lang: b"\n".join(parts)[:DICT_BYTES] for lang, parts in sorted(found.items())}
+    return {lang: b"\n".join(p[: DICT_BYTES // len(parts) - 1] for p in parts) for lang, parts in sorted(found.items())}
 
 
 def _fold(text: str) -> bytes:
@@ -83,7 +87,7 @@ def classifier(model: dict[str, bytes], min_margin: float = MIN_MARGIN):
     kept: dict[str, list] = {}
 
     def one(text):
-        if text is None or not model or not _LETTER.search(text):
+        if text is None or not model or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0, True
         data = _fold(text)
         sizes = [language.size(data) for language in kept.values()]
@@ -120,4 +124,5 @@ def predict(docs: DataFrame, model: dict[str, bytes], text_col="text", out="_lan
 
 def keep_identified(docs: DataFrame, model: dict[str, bytes]) -> DataFrame:
     """The documents that are not rejected, with their own columns."""
-    return predict(docs, model, out="_verdict").where("not _verdict.rejected").select(*[docs[c] for c in docs.columns])
+    verdict = f"{private(docs)}verdict"
+    return predict(docs, model, out=verdict).where(f"not {verdict}.rejected").select(*docs.columns)

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import content_key, once
+from faultline.llm.common import content_key, once, private
 from faultline.session import cut
 
 WINDOW = 2
@@ -55,8 +55,11 @@ def with_chunks(docs: DataFrame, text: str, lines="_lines", chunks="_chunks") ->
     return d.withColumn(chunks, spans).drop("_h", "_r", "_ends")
 
 
-def line_dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The documents with repeated chunks taken out of the text, and n_lines, n_removed (lines)."""
+def line_dedup(docs: DataFrame, id_col="doc_id", text_col="text", counts=("n_lines", "n_removed")) -> DataFrame:
+    """The documents with repeated chunks taken out of the text, and ``counts``: lines, lines removed.
+
+    Columns of the documents that are named like the counts give way to them.
+    """
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), content_key(id_col, text_col).alias("_key"))
     rows = with_chunks(d, "_text").select("_id", "_key", "_lines", F.explode("_chunks").alias("_c")).where("_c.last > _c.first")
     body = F.array_join(F.slice("_lines", F.col("_c.first") + 1, F.col("_c.last") - F.col("_c.first") + 1), "\n")
@@ -67,17 +70,20 @@ def line_dedup(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_key").alias("k"), F.col("_c.first").alias("l"))
     first = some.groupBy("_hash", "_body").agg(F.min(place).alias("_first"))
     again = some.join(first, ["_hash", "_body"]).where(place > F.col("_first"))
-    gone = again.groupBy("_id", "_key").agg(F.collect_set("_c").alias("__gone")).withColumnsRenamed({"_id": "__gid", "_key": "__gkey"})
-    d = docs.withColumn("__key", content_key(id_col, text_col))
-    d = d.join(gone, F.col(id_col).eqNullSafe(F.col("__gid")) & (F.col("__key") == F.col("__gkey")), "left")
-    d, lines = once(d, "__lines", F.split(F.col(text_col), "\n")), F.col("__lines")
-    kept = F.filter(lines, lambda _, i: ~F.exists("__gone", lambda g: (i >= g["first"]) & (i <= g["last"])))
-    removed = F.aggregate("__gone", F.lit(0), lambda s, g: s + g["last"] - g["first"] + 1)
+    p = private(docs)
+    gone = again.groupBy("_id", "_key").agg(F.collect_set("_c").alias(f"{p}gone")).withColumnsRenamed({"_id": f"{p}gid", "_key": f"{p}gkey"})
+    d = docs.withColumn(f"{p}key", content_key(id_col, text_col))
+    d = d.join(gone, F.col(id_col).eqNullSafe(F.col(f"{p}gid")) & (F.col(f"{p}key") == F.col(f"{p}gkey")), "left")
+    d, lines = once(d, f"{p}lines", F.split(F.col(text_col), "\n")), F.col(f"{p}lines")
+    gone = F.col(f"{p}gone")
+    kept = F.filter(lines, lambda _, i: ~F.exists(gone, lambda g: (i >= g["first"]) & (i <= g["last"])))
+    removed = F.aggregate(gone, F.lit(0), lambda s, g: s + g["last"] - g["first"] + 1)
+    n_lines, n_removed = counts
     out = d.withColumns(
         {
-            "n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(removed, F.lit(0)).cast("long"),
-            text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
+            n_lines: F.coalesce(F.size(lines), F.lit(0)).cast("long"),
+            n_removed: F.coalesce(removed, F.lit(0)).cast("long"),
+            text_col: F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
         }
     )
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    return out.select(*[c for c in docs.columns if c not in counts], n_lines, n_removed)

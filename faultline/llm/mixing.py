@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import content_key, word_count
+from faultline.llm.common import content_key, private, word_count
 from faultline.session import cut
 
 RANGE_ROWS = 4096
@@ -122,8 +122,10 @@ def _join_source(left: DataFrame, targets: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with its own columns."""
     plan = mix_plan(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__key"), F.col("copies").alias("__copies"))
-    d = docs.withColumn("__k", content_key(id_col, text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__k") == F.col("__key"))
-    out = d.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.select(*[d[c] for c in docs.columns])
+    p = private(docs)
+    names = {"doc_id": "id", "source": "source", "key": "key", "copies": "copies"}
+    plan = plan.select(*[F.col(c).alias(f"{p}{n}") for c, n in names.items()])
+    d = docs.withColumn(f"{p}k", content_key(id_col, text_col))
+    same = F.col(id_col).eqNullSafe(F.col(f"{p}id")) & F.col(source_col).eqNullSafe(F.col(f"{p}source")) & (F.col(f"{p}k") == F.col(f"{p}key"))
+    out = d.join(plan, same).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), F.col(f"{p}copies"))))
+    return out.select(*docs.columns)
