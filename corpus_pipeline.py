@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from faultline import configure
 from faultline.llm import jaccard, lang_id, line_dedup, mixing, packing
+from faultline.llm.common import private
 from faultline.session import cut
 
 
@@ -24,8 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take repeated chunks of lines out of texts; documents that lose every line go."""
     configure(spark)
-    d = line_dedup.line_dedup(docs)
-    d = d.where("n_removed = 0 or n_removed < n_lines").withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    lines, removed = (f"{private(docs)}{n}" for n in ("lines_all", "lines_removed"))
+    d = line_dedup.line_dedup(docs, counts=(lines, removed))
+    d = d.where(f"{removed} = 0 or {removed} < {lines}").withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return d.select(*docs.columns)
 
 
