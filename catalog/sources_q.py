@@ -6,6 +6,8 @@ whole table; the file readers are covered by the tests.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -221,6 +223,24 @@ def s17(t):
     return outcomes.select("index", "project_id", "status", "service_id")
 
 
+@query(
+    "s17_write_events",
+    Q.cte(Q.EV, Q.PRJ, Q.SVC, EVJ)
+    + """ SELECT pid AS project_id, CAST(make_timestamp(us - 3600000000) AS DATE) AS event_date, event_type, count(*) AS n, count(*) AS ids
+    FROM oc WHERE status2 = 'ACCEPTED' GROUP BY ALL""",
+)
+def s17_write(t):
+    """Two writes, the first one tried again with other rows; then the table is read back."""
+    accepted, _ = EVT.ingest(EVT.checked_events(event_json(t)), t.projects, t.services)
+    accepted, path = cut(accepted), shared_path(t.spark, "events")
+    early = F.col("index") < accepted.agg(F.avg("index")).first()[0]
+    EVT.write_events(accepted.where(early), path, "batch-1")
+    EVT.write_events(accepted.where(~early), path, "batch-2")
+    EVT.write_events(accepted, path, "batch-1")
+    rows = EVT.read_events(t.spark, path)
+    return rows.groupBy("project_id", "event_date", "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+
+
 @query(
     "a13_batch_totals",
     Q.cte(Q.EV, Q.PRJ, Q.SVC, EVJ)
@@ -530,3 +550,27 @@ def s7(t):
     words = t.table("benchmark").selectExpr("explode(split(replace(text, ',', ';'), '\\n')) as value")  # no file looks like CSV
     words.repartition(2).write.text(f"{folder}/b")
     return L.scan_logs(t.spark, [f"{folder}/a", f"{folder}/b"]).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "s20_evidence_sink",
+    """WITH o AS (SELECT *, o_custkey % 3 > 0 AND bool_or(o_orderkey % 2 = 0) OVER (PARTITION BY o_custkey) AS late FROM orders)
+    SELECT o_custkey AS incident_id, count(*) AS items, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(late AS INT) AS build FROM o
+    WHERE NOT late OR o_orderkey % 2 = 0 GROUP BY o_custkey, late""",
+)
+def s20(t):
+    """A build of all incidents, a later one of two thirds with other items, the first one tried again."""
+    path = shared_path(t.spark, "evidence")
+    items = t.table("orders").selectExpr("o_custkey as incident_id", "o_orderkey as key")
+
+    def write(rows, day, name):
+        groups, relations = rows.select("incident_id").distinct(), rows.selectExpr("incident_id", "key as source")
+        return EVT.write_evidence(rows, relations, groups, path, dt.datetime(2024, 2, day, tzinfo=dt.timezone.utc), name)
+
+    write(items, 1, "build-1")
+    write(items.where("incident_id % 3 > 0 and key % 2 = 0"), 2, "build-2")
+    write(items, 3, "build-1")
+    found = EVT.latest_evidence(t.spark, path)["items"]
+    return found.groupBy("incident_id").agg(
+        F.count(F.lit(1)).alias("items"), F.sum("key").alias("keys"), F.max(F.when(F.dayofmonth("built_at") == 2, 1).otherwise(0)).alias("build")
+    )

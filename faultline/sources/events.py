@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.config import EVENT_TYPES, SEVERITIES
 from faultline.functions.fields import ISO_TEXT, parse_epoch
 from faultline.operators.normalize import KIND_FIELDS, event_message, event_payload
+from faultline.sources.manifest import Table
 
 ENVELOPE = ("timestamp", "source", "source_type", "source_id", "service", "environment", "raw_data", "normalized_data")
 
@@ -106,7 +107,7 @@ def ingest(events: DataFrame, projects: DataFrame, services: DataFrame) -> tuple
     """(accepted event rows, one outcome per input row).
 
     ``events`` are ``checked_events`` with project_id, batch and index. The
-    row id is a hash of (batch, index), so a retry writes the same ids.
+    row id is 128 bits of a hash of (batch, index), so a retry writes the same ids.
     """
     rows = resolve_service(require_project(events, projects), services)
     status = (
@@ -115,7 +116,7 @@ def ingest(events: DataFrame, projects: DataFrame, services: DataFrame) -> tuple
         .when(~F.col("service_known"), "SERVICE_NOT_FOUND")
         .otherwise("ACCEPTED")
     )
-    rows = rows.withColumns({"ingest_status": status, "id": F.xxhash64("batch", "index")})
+    rows = rows.withColumns({"ingest_status": status, "id": F.md5(F.concat_ws(":", "batch", "index"))})
     ok = F.col("ingest_status") == "ACCEPTED"
     outcomes = rows.select(
         "project_id",
@@ -138,29 +139,32 @@ def batch_totals(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def write_events(accepted: DataFrame, path: str) -> None:
-    """Append to a table partitioned by project and day, the columns queries prune on.
+def write_events(accepted: DataFrame, path: str, write_id: str) -> bool:
+    """Commit events to a table by project and day, the columns queries prune on; False for a retry."""
+    return Table(accepted.sparkSession, path).write({"events": accepted}, write_id, ("project_id", "event_date"))
 
-    Rows are spread by id within a partition, so one large project-day is
-    written by many tasks.
-    """
-    spread = F.pmod("id", F.lit(16))
-    rows = accepted.repartition("project_id", "event_date", spread)
-    rows.write.mode("append").partitionBy("project_id", "event_date").parquet(path)
+
+def read_events(spark: SparkSession, path: str) -> DataFrame | None:
+    return Table(spark, path).read("events")
 
 
-def write_evidence(items: DataFrame, relations: DataFrame, groups: DataFrame, path: str, built_at) -> None:
-    """Three tables under ``path``, each stamped with ``built_at``."""
-    for name, df in (("groups", groups), ("items", items), ("relations", relations)):
-        df.withColumn("built_at", F.lit(built_at)).write.mode("append").parquet(f"{path}/{name}")
+def write_evidence(items: DataFrame, relations: DataFrame, groups: DataFrame, path: str, built_at, write_id: str) -> bool:
+    """Commit groups, items and relations together, each stamped with ``built_at``; False for a retry."""
+    tables = {"groups": groups, "items": items, "relations": relations}
+    stamped = {name: df.withColumn("built_at", F.lit(built_at)) for name, df in tables.items()}
+    return Table(items.sparkSession, path).write(stamped, write_id)
 
 
-def latest_evidence(groups: DataFrame, incident_ids: DataFrame | None = None) -> DataFrame:
-    """Latest evidence group per incident; pick incidents by a semi join."""
+def latest_evidence(spark: SparkSession, path: str, incident_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Groups, items and relations of each incident's latest build; pick incidents by a semi join."""
+    table = Table(spark, path)
+    groups = table.read("groups")
+    if groups is None:
+        raise ValueError(f"nothing has been written to {path}")
     if incident_ids is not None:
         groups = groups.join(incident_ids.select("incident_id"), "incident_id", "left_semi")
-    body = F.struct(*groups.columns)
-    return groups.groupBy("incident_id").agg(F.max_by(body, "built_at").alias("_g")).select("_g.*")
+    newest = groups.groupBy("incident_id").agg(F.max("built_at").alias("built_at"))
+    return {name: table.read(name).join(newest, ["incident_id", "built_at"], "left_semi") for name in ("groups", "items", "relations")}
 
 
 def to_canonical_json(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
