@@ -184,7 +184,6 @@ SETTINGS = {
     "usual": {},
     "no floor": {"min_score": 0.0, "max_results": 70},
     "heavy title": {"title": 0.6, "embedding": 0.3, "fingerprint": 0.05, "service": 0.03, "environment": 0.02, "error_group": 0.0, "min_score": 0.5},
-    "text alone": {"title": 0.0, "embedding": 0.8, "fingerprint": 0.1, "service": 0.05, "environment": 0.05, "error_group": 0.0, "min_score": 0.3},
 }
 
 
