@@ -13,6 +13,7 @@ from faultline.operators import evaluate as V
 from faultline.operators import incidents as I
 from faultline.operators import rank as R
 from faultline.operators import similar as M
+from faultline.operators.concordance import concordance
 
 
 def alerts(t):
@@ -447,19 +448,12 @@ def a15(t):
 
 @query(
     "w10_kendall_tau",
-    """WITH s AS (SELECT l_orderkey, l_linenumber AS g, l_extendedprice AS p FROM lineitem),
-    d AS (SELECT l_orderkey, g, any_value(p) AS p FROM s GROUP BY 1, 2 HAVING count(*) = 1),
-    pr AS (SELECT a.l_orderkey, sign(rb.r - ra.r) AS s FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.g < b.g
-      JOIN (SELECT l_orderkey, g, row_number() OVER (PARTITION BY l_orderkey ORDER BY p, g) AS r FROM d) ra ON ra.l_orderkey = a.l_orderkey AND ra.g = a.g
-      JOIN (SELECT l_orderkey, g, row_number() OVER (PARTITION BY l_orderkey ORDER BY p, g) AS r FROM d) rb ON rb.l_orderkey = b.l_orderkey AND rb.g = b.g)
-    SELECT l_orderkey, round(avg(s), 6) AS tau FROM pr GROUP BY 1""",
+    """WITH s AS (SELECT l_orderkey AS k, row_number() OVER () AS id, (l_linenumber, l_extendedprice) AS a, (l_extendedprice, l_linenumber) AS b FROM lineitem),
+    p AS (SELECT x.k, CASE WHEN x.a = y.a THEN 0 WHEN (x.a < y.a) = (x.b < y.b) THEN 1 ELSE -1 END AS sign FROM s x JOIN s y ON x.k = y.k AND x.id < y.id)
+    SELECT s.k AS l_orderkey, count(*) AS n, any_value(t.tau) AS tau FROM s LEFT JOIN (SELECT k, round(avg(sign), 6) AS tau FROM p GROUP BY 1) t ON s.k = t.k GROUP BY 1""",
 )
 def w10(t):
-    """Line order against price order within each order."""
-    d = t.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.first("l_extendedprice").alias("p"))
-    d = d.filter("n = 1").withColumn("g", F.col("l_linenumber").cast("string"))
-    o = d.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list("g")).alias("by_line"),
-        F.transform(F.array_sort(F.collect_list(F.struct("p", "l_linenumber", "g"))), lambda s: s["g"]).alias("by_price"),
-    )
-    return o.select("l_orderkey", F.round(V.kendall_tau(F.col("by_line"), F.col("by_price")), 6).alias("tau")).filter("tau is not null")
+    """Line order against price order within each order; what ties in one follows the other."""
+    line, price = F.col("l_linenumber"), F.col("l_extendedprice")
+    c = concordance(t.table("lineitem"), ["l_orderkey"], F.struct(line, price), F.struct(price, line))
+    return c.select("l_orderkey", "n", F.round("tau", 6).alias("tau"))
