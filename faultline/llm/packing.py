@@ -105,8 +105,8 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     d = d.groupBy(*d.columns).agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
     d = cut(d.withColumn("rest", F.col("size") % capacity))
     shards = max(1, -(-d.count() // SHARD_ROWS))
-    # clusters are dealt out by their members' keys, so their copies spread over the shards
-    d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards)))
+    # clusters are dealt out by their members' keys, and repeated rows by their numbers, so that copies spread over the shards
+    d = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "key", "copy"), F.lit(shards)))
     out = "shard long, doc_id long, copy long, size long, rest long, source string, number long, at long, bin_words long"
     rests = d.where("rest > 0").groupBy("shard").applyInPandas(_pack_shard(capacity, per_source), out)
     zero, cap = F.lit(0).cast("long"), F.lit(capacity).cast("long")
