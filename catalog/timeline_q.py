@@ -10,8 +10,10 @@ from catalog.roles import NOW
 from faultline.functions import scores as C
 from faultline.functions.text import format_duration
 from faultline.operators import asof, correlate, deployments, evidence, services, timeline
+from faultline.plans import documents as D
 from faultline.plans import packages as P
 from faultline.plans import timelines as TL
+from faultline.session import shared_path
 
 US = "unix_micros(timestamp) as us"
 
@@ -491,15 +493,18 @@ def p5(t):
     return TL.evidence_package(*built(t)).select("incident_id", "summary", "graph_summary")
 
 
-@query(
-    "p7_package_items",
-    tl_sql(Q.MARK, Q.CORR, A8, *ALL_REL)
-    + """, it AS (
+ITEMS_SQL = """it AS (
       SELECT incident_id, 'symptoms' AS section, us, id FROM an WHERE category IN ('alert', 'log')
       UNION ALL SELECT incident_id, 'error_groups', us, id FROM an WHERE category = 'error'
       UNION ALL SELECT incident_id, 'anomalies', us, id FROM an WHERE category = 'metric' AND anomaly
       UNION ALL SELECT incident_id, 'deployments', us, id FROM an WHERE category = 'deployment'
-      UNION ALL SELECT incident_id, 'timeline', us, id FROM an)
+      UNION ALL SELECT incident_id, 'timeline', us, id FROM an)"""
+
+
+@query(
+    "p7_package_items",
+    tl_sql(Q.MARK, Q.CORR, A8, *ALL_REL)
+    + """, """ + ITEMS_SQL + """
     SELECT incident_id, section, row_number() OVER (PARTITION BY incident_id, section ORDER BY us, id) AS pos, id FROM it
     UNION ALL SELECT incident_id, 'correlations', n, NULL FROM (
       SELECT incident_id, unnest(range(1, count(*) + 1)) AS n FROM (
@@ -534,6 +539,31 @@ def s19(t):
     return P.package_json(P.rca_package(tl, ev, P.package_items(tl)))
 
 
+@query(
+    "s19_documents",
+    tl_sql(Q.MARK, Q.CORR, A8, *ALL_REL)
+    + ", " + ITEMS_SQL + f""", lk AS (SELECT incident_id FROM corr UNION ALL SELECT incident_id FROM rel UNION ALL SELECT incident_id FROM ass),
+    fld AS (SELECT unnest({list(D.FIELDS)}) AS field),
+    pc AS (
+      SELECT id AS incident_id, field, 0 AS step, 0 AS us, '' AS o, field AS key FROM inc, fld
+      UNION ALL SELECT id, field, 2, 0, '', 'end' FROM inc, fld WHERE field NOT IN ({", ".join(f"'{x}'" for x in D.FIXED)})
+      UNION ALL SELECT incident_id, section, 1, us, id, id FROM it
+      UNION ALL SELECT incident_id, 'correlations', 1, 0, '', 'link' FROM lk)
+    SELECT incident_id, row_number() OVER (PARTITION BY incident_id ORDER BY field, step, us, o) - 1 AS line, key FROM pc""",
+)
+def s19_documents(t):
+    """Every line of every document as read back from its part files: fields, items by id, links, ends."""
+    tl, ev = built(t)
+    path = shared_path(t.spark, "documents")
+    frame = P.package_frame(tl, ev).withColumn("evidence_graph", P.graph_json())
+    D.write_documents(P.package_items(tl), frame, path, rows_per_part=20_000)
+    body = F.regexp_replace("text", "^,", "")
+    name = F.nullif(F.regexp_extract("text", f'^[{{,]"({"|".join(D.FIELDS)})":', 1), F.lit(""))
+    found = F.coalesce(F.get_json_object(body, "$.id"), F.when(F.get_json_object(body, "$.kind").isNotNull(), "link"))
+    key = F.when(F.col("text").startswith("]"), "end").otherwise(F.coalesce(name, found))
+    return D.read_documents(t.spark, path).select("incident_id", "line", key.alias("key"))
+
+
 @query("x34_package_keys")
 def x34(t):
     from faultline.operators.evaluate import package_keys
