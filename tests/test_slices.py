@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import anomaly
 from faultline.operators.asof import asof_forward
-from faultline.operators.slices import equal_slices
+from faultline.operators.slices import equal_slices, grid_pairs
 
 BASE = dt.datetime(2026, 9, 1, 12)
 SCHEMA = "metric_name string, timestamp timestamp, id bigint, value double"
@@ -76,3 +76,18 @@ def test_asof_over_slices_equals_loop(spark, strict, rows):
         if role < 2 and ahead:
             want[sid] = min(ahead)[1]
     assert got == want
+
+
+@pytest.mark.parametrize("broadcast_keys", [20_000, 1])
+def test_grid_pairs_never_broadcasts_rows(spark, tmp_path, monkeypatch, broadcast_keys):
+    """Small files of rows that explode: all pairs, and no broadcast but that of the cells."""
+    monkeypatch.setattr("faultline.operators.slices.BROADCAST_KEYS", broadcast_keys, raising=False)
+    spark.range(300).selectExpr("id as l", "id % 3 as k").write.parquet(f"{tmp_path}/l")
+    spark.range(90).selectExpr("id as r", "id % 4 as k").write.parquet(f"{tmp_path}/r")
+    left = spark.read.parquet(f"{tmp_path}/l").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    out = grid_pairs(left, spark.read.parquet(f"{tmp_path}/r"), ["k"], "l", "r", F.col("l") != F.col("r"), pairs_per_task=500)
+    got = sorted((x["l"], x["copy"], x["r"]) for x in out.collect())
+    assert got == sorted((a, c, b) for a in range(300) for c in range(1, 5) for b in range(90) if a % 3 == b % 4 and a != b)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    rows = plan.count("BroadcastHashJoin") - (2 if broadcast_keys > 1 else 0)
+    assert rows <= 0 and "SortMergeJoin" in plan
