@@ -6,7 +6,7 @@ import functools
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import services, slices, timeline
+from faultline.operators import correlate, services, slices, timeline
 from faultline.operators.asof import Target, next_targets
 
 NOW = dt.datetime(2024, 1, 6, tzinfo=dt.timezone.utc)
@@ -94,3 +94,22 @@ def test_latest_earlier_target(spark, slice_rows):
         best = max(near) if near else None
         want = best[1] if best and ts - best[0] <= dt.timedelta(minutes=5) else None
         assert got[i] in {want} | ({j for b, j in near if b == ts and j < i} if best and best[0] == ts else set()), (i, got[i], want)
+
+
+def test_links_of_recent_deployments_equal_those_of_pairs(spark, monkeypatch):
+    from faultline.plans import timelines as TL
+
+    monkeypatch.setattr(slices, "equal_slices", functools.partial(slices.equal_slices, rows_per_slice=5))
+    t = list(tables(spark))
+    anywhere = {c: F.expr(f"if(id % 7 = 0, {c}, null)") for c in ("service_id", "environment")}
+    t[1] = t[1].withColumns({"metric_name": F.lit("m"), "value": F.lit(1.0), "project_id": F.expr("1 + id div 6 % 2"), **anywhere})
+    t[1] = t[1].unionByName(t[1].filter("id % 12 = 3"))  # deployments that come twice
+    plain = timeline.cut(TL.timeline_entries(*t, NOW))
+    shared = TL.shared_entries(*t, NOW)
+    monkeypatch.setattr(TL.timeline, "incident_events", None)  # nothing pairs incidents and events any more
+    marks = timeline.cut(timeline.markers(shared, t[0]))
+    named = marks.selectExpr("incident_id", "recent_deployment.id as source_id").distinct()
+    links = correlate.correlate_temporal(plain).filter("kind = 'deployment_to_error'").join(named, ["incident_id", "source_id"])
+    found = correlate.deployment_links(shared, marks).select(*links.columns)
+    assert rows(found) == rows(links)
+    assert links.count() > 10
