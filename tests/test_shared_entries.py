@@ -6,9 +6,10 @@ import functools
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import correlate, services, slices, timeline
+from faultline.operators import anomaly, correlate, services, slices, timeline
 from faultline.operators.asof import Target, next_targets
 
+METRIC = "if(event_type = 'METRIC' and id % 50 <> 8, {}, null)"
 NOW = dt.datetime(2024, 1, 6, tzinfo=dt.timezone.utc)
 EVENT = (
     "id long, project_id long, service_id long, event_type string, timestamp timestamp, environment string, source string, "
@@ -113,3 +114,42 @@ def test_links_of_recent_deployments_equal_those_of_pairs(spark, monkeypatch):
     found = correlate.deployment_links(shared, marks).select(*links.columns)
     assert rows(found) == rows(links)
     assert links.count() > 10
+
+
+def metrics(spark, step):
+    """Tables with dense series: values vary, times tie, some values and names are missing."""
+    t = list(tables(spark))
+    anywhere = {c: F.expr(f"if(id % 7 = 0, {c}, null)") for c in ("service_id", "environment")}
+    value = F.expr(METRIC.format("pmod(hash(id), 23) * 1.0D"))
+    name = F.expr("if(id % 4 = 0, concat('m', id % 8), if(id % 4 = 1, '', null))")
+    kind = F.expr("if(id % 4 <> 3, 'METRIC', event_type)")
+    message = F.expr("if(id % 50 = 9, null, concat('m', id % 2))")
+    t[1] = t[1].withColumn("event_type", kind).withColumns(
+        {"value": value, "metric_name": name, "message": message, "project_id": F.lit(1), "source": F.lit(None).cast("string"), **anywhere}
+    )
+    t[1] = t[1].withColumn("timestamp", F.timestamp_micros(F.floor(F.unix_micros("timestamp") / (step * 60_000_000)) * (step * 60_000_000)))
+    return t
+
+
+@pytest.mark.parametrize("step, slice_rows", [(1, 5), (90, 1000), (400, 5)])
+def test_flags_and_predicates_equal_those_of_pairs(spark, monkeypatch, step, slice_rows):
+    from faultline.plans import timelines as TL
+
+    t = metrics(spark, step)
+    plain = timeline.cut(TL.timeline_entries(*t, NOW))
+    wanted = rows(plain.filter("category = 'metric'").select("incident_id", "id", "timestamp", "anomaly"))
+    cut_slices = slices.equal_slices
+    for module in (slices, anomaly, timeline):
+        monkeypatch.setattr(module, "equal_slices", lambda df, keys, ts, *_: cut_slices(df, keys, ts, slice_rows))
+    flags = TL.shared_flags(*t, NOW)
+    own, spans = flags.entries.groups, flags.entries.spans.select("incident_id", "scope", "window_start", "window_end")
+    shared = flags.entries.events.filter("category = 'metric'").withColumnRenamed("incident_id", "scope").withColumn("_series", anomaly._series())
+    each = shared.join(spans, "scope").filter("timestamp between window_start and window_end").withColumnRenamed("anomaly", "whole")
+    each = each.join(flags.changes, ["incident_id", "scope", "_series", "timestamp"], "left")
+    found = each.selectExpr("incident_id", "id", "timestamp", "coalesce(anomaly, whole) as anomaly").unionByName(
+        own.filter("category = 'metric'").select("incident_id", "id", "timestamp", "anomaly")
+    )
+    assert rows(found) == wanted
+    assert flags.changes.count() > 0 and own.filter("incident_id = 4 and category = 'metric'").count() > 0
+    assert len({r[-1] for r in wanted}) == 2
+    assert rows(anomaly.predicate_counts(flags)) == rows(anomaly.predicate_counts(plain))
