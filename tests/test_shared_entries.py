@@ -153,3 +153,34 @@ def test_flags_and_predicates_equal_those_of_pairs(spark, monkeypatch, step, sli
     assert flags.changes.count() > 0 and own.filter("incident_id = 4 and category = 'metric'").count() > 0
     assert len({r[-1] for r in wanted}) == 2
     assert rows(anomaly.predicate_counts(flags)) == rows(anomaly.predicate_counts(plain))
+
+
+@pytest.mark.parametrize("slice_rows, starts", [(3, 4), (1000, 4096)])
+def test_dependencies_equal_those_of_pairs(spark, monkeypatch, slice_rows, starts):
+    from faultline.plans import timelines as TL
+
+    t = list(tables(spark))
+    traced = {
+        "event_type": F.expr("if(id % 4 = 0, 'LOG', 'TRACE')"),
+        "project_id": F.lit(1),
+        "service_id": F.expr("pmod(hash(id), 3)"),
+        "environment": F.expr("if(id % 7 = 0, environment, null)"),
+        "trace_id": F.expr("if(id % 20 = 3, '', concat('t', pmod(hash(id, 1), 9)))"),
+        "span_id": F.expr("if(id % 3 = 0, concat('s', pmod(hash(id, 2), 40)), null)"),  # often given twice, by two services
+        "parent_span_id": F.expr("if(id % 2 = 0, concat('s', pmod(hash(id, 3), 40)), ' ')"),
+    }
+    t[1] = t[1].withColumns(traced)
+    t[0] = t[0].withColumn("project_id", F.lit(1)).withColumn("service_id", F.expr("if(id % 5 = 0, service_id, null)"))
+    t[3] = spark.createDataFrame([(i, f"s{i}") for i in range(3)], "id long, name string")
+    plain = timeline.cut(TL.timeline_entries(*t[:1], t[1].withColumns({"metric_name": F.lit("m"), "value": F.lit(1.0)}), *t[2:], NOW))
+    wanted = rows(services.infer_dependencies(plain))
+    # Windows short enough that some show an edge that others do not.
+    cut_slices = slices.equal_slices
+    for module in (slices, services, timeline):
+        monkeypatch.setattr(module, "equal_slices", lambda df, keys, ts, *_: cut_slices(df, keys, ts, slice_rows))
+    monkeypatch.setattr(services, "STARTS", starts)
+    assert rows(TL.shared_dependencies(*t, NOW)) == wanted
+    by_incident = {}
+    for incident, a, b in wanted:
+        by_incident.setdefault(incident, set()).add((a, b))
+    assert len(set(map(frozenset, by_incident.values()))) > 2
