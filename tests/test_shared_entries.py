@@ -6,7 +6,7 @@ import functools
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.operators import anomaly, correlate, services, slices, timeline
+from faultline.operators import anomaly, correlate, evidence, services, slices, timeline
 from faultline.operators.asof import Target, next_targets
 
 METRIC = "if(event_type = 'METRIC' and id % 50 <> 8, {}, null)"
@@ -155,6 +155,40 @@ def test_flags_and_predicates_equal_those_of_pairs(spark, monkeypatch, step, sli
     assert rows(anomaly.predicate_counts(flags)) == rows(anomaly.predicate_counts(plain))
 
 
+def small_slices(monkeypatch, slice_rows, *modules):
+    cut_slices = slices.equal_slices
+    for module in (slices, timeline, *modules):
+        monkeypatch.setattr(module, "equal_slices", lambda df, keys, ts, *_: cut_slices(df, keys, ts, slice_rows))
+
+
+@pytest.mark.parametrize("slice_rows", [5, 1000])
+def test_entry_numbers_equal_those_of_pairs(spark, monkeypatch, slice_rows):
+    from faultline.plans import timelines as TL
+
+    t = list(tables(spark))
+    t[1] = t[1].withColumn("project_id", F.expr("1 + id % 2")).unionByName(t[1].filter("id % 6 = 0"))
+    t[2] = t[2].unionByName(t[2].withColumns({"id": F.expr("id + 50"), "first_seen": F.timestamp_micros(F.unix_micros("first_seen") + 60_000_000)}))
+    pairs = timeline.build_entries(timeline.incident_events(*t[:2], NOW), timeline.incident_groups(t[0], t[2], NOW))
+    shown = ("incident_id", "id", "timestamp", "title", "incident_started_at", "entry_index")
+    wanted = evidence.number_entries(pairs).select(*shown)
+    own = wanted.filter("id like 'error_group:%'")
+    assert own.filter("entry_index > 0").count() > 10 and own.count() > own.filter("entry_index > 0").count()
+    small_slices(monkeypatch, slice_rows)
+    found = evidence.number_entries(TL.unique_entries(*t[:3], NOW))
+    assert rows(found.select(*shown)) == rows(wanted)
+
+
+@pytest.mark.parametrize("step, slice_rows", [(1, 5), (90, 1000)])
+def test_flagged_metrics_equal_those_of_pairs(spark, monkeypatch, step, slice_rows):
+    from faultline.plans import timelines as TL
+
+    t = metrics(spark, step)
+    shown = ("incident_id", "id", "timestamp", "service_name", "incident_started_at", "anomaly")
+    wanted = rows(TL.timeline_entries(*t, NOW).filter("category = 'metric'").select(*shown))
+    small_slices(monkeypatch, slice_rows, anomaly)
+    assert rows(TL.shared_flags(*t, NOW).flagged().select(*shown)) == wanted
+
+
 @pytest.mark.parametrize("slice_rows, starts", [(3, 4), (1000, 4096)])
 def test_dependencies_equal_those_of_pairs(spark, monkeypatch, slice_rows, starts):
     from faultline.plans import timelines as TL
